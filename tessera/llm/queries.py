@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pairwise_quality, quality_rules, sharding
+from . import chat, line_dedup, packing, pairwise_quality, quality_rules, sharding, simhash
 from .shared import crc_mod, read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    index = line_dedup.LineIndex.empty(spark, docs.schema["doc_id"].dataType).insert(docs)
+    return index.apply(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     cutoffs = quality_rules.calibrate(docs, read(spark, sf_dir, "labels"))
@@ -38,17 +44,35 @@ def op7_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(given.unionByName(more)))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(read(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file, on every node where the tokenizers are installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_quality_rules": op2_quality_rules,
         "op3_pairwise_quality": op3_pairwise_quality,
         "op4_feistel_sharding": op4_feistel_sharding,
         "op7_prefix_target": op7_prefix_target,
+        "op9_simhash": op9_simhash,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_prefix_target": _OP7}
+    return {"op1_line_dedup": _OP1, "op7_prefix_target": _OP7}
 
 
 _OP7 = r"""
@@ -64,3 +88,17 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(14 + length(regexp_replace(role, '[\\#<:]', '__', 'g')) + length(regexp_replace(text, '[\\#<]', '__', 'g'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+_OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT r, doc_id, i, s[i] AS line,
+    translate(regexp_replace(s[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT r, doc_id, string_split(text, chr(10)) AS s FROM d))
+),
+k AS (SELECT key, max(doc_id) AS holder FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id <> k.holder AS gone FROM l LEFT JOIN k ON l.key = k.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
