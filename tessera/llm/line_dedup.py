@@ -11,10 +11,12 @@ lower-cased, as a 128-bit hash. Two tables are kept:
   fall below it are deleted; only changed shards are rewritten.
 
 A repeated key loses its lines except in the largest doc_id holding it. The filters
-let most lines pass without a look at the exact table: lines whose key is in no
-filter stay; the rest are joined with the exact counts, which settle false positives.
-Filters are sent to all tasks only up to ``broadcast_bytes``; beyond it every
-reference is joined with the exact counts. Results are the same.
+let most lines pass without a look at the exact counts: lines whose key is in no
+filter stay, and the exact counts settle the rest, false positives among them.
+While filters and repeated keys take at most ``broadcast_bytes``, they are sent to
+all tasks and texts are rewritten in one pass without a shuffle. Beyond that, only
+the filters are sent if they alone are that small, references in them are joined
+with the exact counts, and texts with their lost keys. Results are the same.
 
 Hot keys: counts are pre-aggregated, and the join on keys is one that Spark splits.
 
@@ -48,7 +50,7 @@ class Params:
     min_chars: int = 40
     min_docs: int = 5
     shards: int = 64
-    broadcast_bytes: int = 64 << 20
+    broadcast_bytes: int = 16 << 20
 
 
 class CuckooFilter:
@@ -130,6 +132,39 @@ class CuckooFilter:
                     break
 
 
+class Probe:
+    """Whether keys are in the filter of their shard."""
+
+    def __init__(self, data: dict[int, bytes], shards: int) -> None:
+        self.filters, self.shards = {s: CuckooFilter(data=d) for s, d in data.items()}, shards
+
+    def __call__(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        shard, hit = np.mod(k1, self.shards), np.zeros(len(k1), bool)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for s, f in self.filters.items():
+            if len(own := order[cuts[s] : cuts[s + 1]]):
+                hit[own] = f.contains(k2[own].view(np.uint64))
+        return hit
+
+
+class Exact:
+    """Repeated keys in order, with the document that holds each."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        rows.sort(key=lambda r: r[:2])
+        self.k1, self.k2 = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        self.holder = [r[2] for r in rows]
+
+    def find(self, k1: int, k2: int) -> int | None:
+        at = int(np.searchsorted(self.k1, k1))
+        while at < len(self.k1) and self.k1[at] == k1:
+            if self.k2[at] == k2:
+                return at
+            at += 1
+        return None
+
+
 def line_key(line: bytes, min_chars: int) -> bytes | None:
     """The key's 128-bit hash, or None if the key is under ``min_chars`` code points."""
     key = line.strip(BLANK).lower()
@@ -207,24 +242,23 @@ class LineIndex:
 
         return table(self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(run, "shard int, data binary"), "filters")
 
+    def _filter_bytes(self) -> int:
+        return self.filters.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+
+    def _sent(self):
+        return self.filters.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in self.filters.collect()})
+
     def suspects(self, refs: DataFrame) -> DataFrame:
-        """The references whose key is in a filter, where filters may be broadcast."""
+        """The references (k1, k2, ...) whose key is in a filter, where filters may be broadcast."""
         p = self.params
-        size = self.filters.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-        if size > p.broadcast_bytes:
+        if self._filter_bytes() > p.broadcast_bytes:
             return refs
-        sent = refs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in self.filters.collect()})
+        sent = self._sent()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {s: CuckooFilter(data=d) for s, d in sent.value.items()}
+            probe = Probe(sent.value, p.shards)
             for batch in batches:
-                k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-                shard, hit = np.mod(k1, p.shards), np.zeros(len(k1), bool)
-                for s in np.unique(shard).tolist():
-                    if s in filters:
-                        own = shard == s
-                        hit[own] = filters[s].contains(k2[own])
-                yield batch.filter(pa.array(hit))
+                yield batch.filter(pa.array(probe(batch.column(0).to_numpy(), batch.column(1).to_numpy())))
 
         return refs.mapInArrow(run, refs.schema)
 
@@ -238,22 +272,36 @@ class LineIndex:
         """doc_id, text (what stays), n_lines and n_dropped for each row of ``docs``,
         which the index holds, with the columns ``also`` as they are."""
         p = self.params
-        rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), *also).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-        lost = self.drops().select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys"))
-        met = rows.join(lost, F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left").select("_row", "_text", "_keys")
+        rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), *also).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+        small = self._filter_bytes() + 24 * self.repeated.count() <= p.broadcast_bytes
+        if small:
+            filters = self._sent()
+            exact = self.filters.sparkSession.sparkContext.broadcast(Exact([tuple(r) for r in self.repeated.collect()]))
+        else:
+            lost = self.drops().select(F.col("doc_id").alias("_lost_by"), F.col("keys").alias("_keys"))
+            rows = rows.join(lost.hint("merge"), F.col("_id").eqNullSafe(F.col("_lost_by")), "left").select("_row", "_keys", "_text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            probe = Probe(filters.value, p.shards) if small else None
             for batch in batches:
-                kept, n, gone = [], [], []
-                for text, keys in zip(batch.column(1), batch.column(2), strict=True):
-                    lines = text.as_buffer().to_pybytes().split(b"\n")
-                    n.append(len(lines))
-                    if keys.is_valid:
-                        own = {struct.pack("<qq", k["k1"], k["k2"]) for k in keys.as_py()}
-                        lines = [x for x in lines if line_key(x, p.min_chars) not in own]
-                    gone.append(n[-1] - len(lines))
-                    kept.append(b"\n".join(lines))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).view(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["_row", "_kept", "_n", "_gone"])
-
-        out = met.mapInArrow(run, T.StructType([met.schema["_row"]]).add("_kept", "string").add("_n", "long").add("_gone", "long"))
+                split = [x.as_buffer().to_pybytes().split(b"\n") for x in batch.column(2)]
+                if small:
+                    at = [(i, j, key) for i, own in enumerate(split) for j, x in enumerate(own) if (key := line_key(x, p.min_chars))]
+                    k = np.frombuffer(b"".join(key for _, _, key in at), "<i8").reshape(-1, 2)
+                    holder, ids, gone = exact.value.holder, batch.column(1), [set() for _ in split]
+                    for n in np.flatnonzero(probe(k[:, 0], k[:, 1])).tolist():
+                        i, j, _ = at[n]
+                        row = exact.value.find(*k[n].tolist())
+                        if row is not None and holder[row] != ids[i].as_py():
+                            gone[i].add(j)
+                else:
+                    gone = []
+                    for own, keys in zip(split, batch.column(1), strict=True):
+                        lost_keys = {struct.pack("<qq", x["k1"], x["k2"]) for x in keys.as_py() or ()}
+                        gone.append({j for j, x in enumerate(own) if line_key(x, p.min_chars) in lost_keys} if lost_keys else set())
+                kept = [b"\n".join(x for j, x in enumerate(own) if j not in out) if out else b"\n".join(own) for own, out in zip(split, gone, strict=True)]
+                counts = [pa.array([len(x) for x in some], pa.int64()) for some in (split, gone)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).view(pa.string()), *counts], ["_row", "_kept", "_n", "_gone"])
+
+        out = rows.mapInArrow(run, T.StructType([rows.schema["_row"]]).add("_kept", "string").add("_n", "long").add("_gone", "long"))
         return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_kept").alias("text"), F.col("_n").alias("n_lines"), F.col("_gone").alias("n_dropped"), *(F.col(f"_row.{c}").alias(c) for c in also))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, packing, pairwise_quality, quality_rules, sharding, simhash
+from . import chat, decontaminate, line_dedup, packing, pairwise_quality, pii, quality_rules, sharding, simhash
 from .shared import crc_mod, read
 
 
@@ -38,12 +38,23 @@ def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL = "\\### Assistant: </turn> ok"
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind_no"] < len(pii.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k.name) for k in pii.BASE), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op7_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.expand(given.unionByName(more)))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(read(spark, sf_dir, "documents"))
 
@@ -65,7 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_pairwise_quality": op3_pairwise_quality,
         "op4_feistel_sharding": op4_feistel_sharding,
+        "op5_pii": op5_pii,
         "op7_prefix_target": op7_prefix_target,
+        "op8_decontaminate": op8_decontaminate,
         "op9_simhash": op9_simhash,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
