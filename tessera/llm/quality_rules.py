@@ -20,7 +20,7 @@ Only counts per stratum, rule, grid cell and label reach the driver.
 Defined cases: a null text is an empty one; null strata are one stratum; an empty
 label table certifies nothing, so only the base rule rejects; repeated rows count
 each. Labelled rows with a null label are ignored. Columns of the input other
-than id, text and stratum are not read by ``measure``.
+than id, text and stratum are not read by ``measured``; ``keep`` passes them on.
 """
 
 from __future__ import annotations
@@ -31,13 +31,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .shared import chunks, texts
+from .shared import chunks, table, texts
 
 POOLED = "*"
 NONE = "\0null"
@@ -117,67 +116,59 @@ def choose(good: np.ndarray, bad: np.ndarray, share: float, delta: float, penalt
     return ties[len(ties) // 2] if ties else CELLS
 
 
-def _schema(id_type: T.DataType, *more: tuple[str, str]) -> T.StructType:
-    out = T.StructType([T.StructField("doc_id", id_type)])
-    for name, kind in more:
-        out = out.add(name, kind)
-    return out
+def _counted(part: pa.RecordBatch, p: Params) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    b = kernel.basics(*texts(part.column("_text")))
+    return b, base_failed(b, p), cells(measures(b), p.rules)
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality") -> Cutoffs:
-    """Certified cutoffs from the labelled rows of ``docs``; see the module."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit(NONE)).alias("_stratum"))
-    given = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    rules = p.rules
+def measured(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """Per row, from one pass over the texts: doc_id, stratum, the five base counts,
+    base_failed and cells, the grid cell of each rule's measure."""
+    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit(NONE))
+    rows = docs.select(F.col(id_col).alias("doc_id"), stratum.alias("stratum"), F.col(text_col).alias("_text"))
 
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "_text"):
-                b = kernel.basics(*texts(part.column("_text")))
-                keep = ~base_failed(b, p)
-                at = cells(measures(b), rules)[keep]
-                key = pc.filter(part.column("_stratum"), pa.array(keep))
-                label = pc.filter(part.column("_label"), pa.array(keep))
-                for r in range(len(rules)):
-                    yield pa.RecordBatch.from_arrays([key, label, pa.array(np.full(len(at), r, np.int32)), pa.array(at[:, r].astype(np.int32))], ["stratum", "label", "rule", "cell"])
-
-    counts = rows.join(given, "_id").mapInArrow(binned, "stratum string, label int, rule int, cell int").groupBy("stratum", "label", "rule", "cell").count()
+                b, failed, at = _counted(part, p)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(b[k]) for k in BASE), pa.array(failed), pa.array(list(at.astype(np.int32)), pa.list_(pa.int32()))], schema.names)
+
+    schema = T.StructType(rows.schema.fields[:2])
+    for name, kind in (*((k, "long") for k in BASE), ("base_failed", "boolean")):
+        schema = schema.add(name, kind)
+    schema = schema.add("cells", T.ArrayType(T.IntegerType()))
+    return table(rows.mapInArrow(run, schema), "measured")
+
+
+def calibrate(rows: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", label_col: str = "quality") -> Cutoffs:
+    """Certified cutoffs from ``measured`` rows and their labels; see the module."""
+    rules = p.rules
+    given = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    found = rows.where(~F.col("base_failed")).select("doc_id", "stratum", "cells").join(given, "doc_id").select("stratum", "label", F.posexplode("cells").alias("rule", "cell"))
+    counts = found.groupBy("stratum", "label", "rule", "cell").count()
     # the smallest number of good rows that can certify anything, so small strata stay off the driver
     least = math.ceil(math.log(p.delta / len(rules)) / math.log1p(-p.alpha / len(rules)))
     large = counts.where("label = 1 and rule = 0").groupBy("stratum").agg(F.sum("count").alias("n")).where(F.col("n") >= least).select("stratum")
     pooled = counts.groupBy(F.lit(POOLED).alias("stratum"), "label", "rule", "cell").agg(F.sum("count").alias("count"))
-    found = counts.join(large, "stratum", "left_semi").unionByName(pooled).collect()
-    table: dict[str, np.ndarray] = {}
-    for x in found:
-        table.setdefault(x["stratum"], np.zeros((2, len(rules), CELLS), np.int64))[int(x["label"] == 1), x["rule"], x["cell"]] += x["count"]
-    delta = p.delta / (len(rules) * max(len(table), 1))
+    table_: dict[str, np.ndarray] = {}
+    for x in counts.join(large, "stratum", "left_semi").unionByName(pooled).collect():
+        table_.setdefault(x["stratum"], np.zeros((2, len(rules), CELLS), np.int64))[int(x["label"] == 1), x["rule"], x["cell"]] += x["count"]
+    delta = p.delta / (len(rules) * max(len(table_), 1))
     out = {}
-    for stratum, (bad, good) in table.items():
-        picked = tuple(choose(good[r], bad[r], p.alpha / len(rules), delta, p.penalty) for r in range(len(rules)))
-        if stratum == POOLED or good[0].sum() >= math.log(delta) / math.log1p(-p.alpha / len(rules)):
-            out[stratum] = picked
+    for stratum, (bad, good) in table_.items():
+        if stratum == POOLED or certified(0, int(good[0].sum()), p.alpha / len(rules), delta):
+            out[stratum] = tuple(choose(good[r], bad[r], p.alpha / len(rules), delta, p.penalty) for r in range(len(rules)))
     return Cutoffs(rules, out)
 
 
-def _verdict(b: dict[str, np.ndarray], strata: list[str | None], cutoffs: Cutoffs, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    failed = base_failed(b, p)
-    limit = np.array([cutoffs.of(NONE if s is None else s) for s in strata]).reshape(-1, len(cutoffs.rules))
-    return failed, ~failed & ~(cells(measures(b), cutoffs.rules) >= limit).any(1)
-
-
-def measure(docs: DataFrame, cutoffs: Cutoffs, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """Per row: doc_id, the five base counts, base_failed and kept."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(stratum_col).cast("string").alias("_stratum"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "_text"):
-                b = kernel.basics(*texts(part.column("_text")))
-                failed, kept = _verdict(b, part.column("_stratum").to_pylist(), cutoffs, p)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(b[k]) for k in BASE), pa.array(failed), pa.array(kept)], ["doc_id", *BASE, "base_failed", "kept"])
-
-    kind = rows.schema["doc_id"].dataType
-    return rows.mapInArrow(run, _schema(kind, *((k, "long") for k in BASE), ("base_failed", "boolean"), ("kept", "boolean")))
+def judged(rows: DataFrame, cutoffs: Cutoffs) -> DataFrame:
+    """``measured`` rows as doc_id, the five base counts, base_failed and kept."""
+    limits = lambda s: F.array(*(F.lit(c) for c in cutoffs.of(s)))
+    limit = limits(POOLED)
+    if own := [s for s in cutoffs.cells if s != POOLED]:
+        limit = F.coalesce(F.create_map(*(x for s in own for x in (F.lit(s), limits(s))))[F.col("stratum")], limit)
+    over = F.exists(F.zip_with("cells", limit, lambda c, most: c >= most), lambda x: x)
+    return rows.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
 
 
 def keep(docs: DataFrame, cutoffs: Cutoffs, p: Params = Params(), text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -186,7 +177,9 @@ def keep(docs: DataFrame, cutoffs: Cutoffs, p: Params = Params(), text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text_col):
-                b = kernel.basics(*texts(part.column(text_col)))
-                yield part.filter(pa.array(_verdict(b, part.column(stratum_col).cast(pa.string()).to_pylist(), cutoffs, p)[1]))
+                _, failed, at = _counted(part.rename_columns(["_text" if c == text_col else f"c{i}" for i, c in enumerate(part.schema.names)]), p)
+                strata = part.column(stratum_col).cast(pa.string()).to_pylist()
+                limit = np.array([cutoffs.of(NONE if x is None else x) for x in strata]).reshape(-1, len(cutoffs.rules))
+                yield part.filter(pa.array(~failed & ~(at >= limit).any(1)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,8 +19,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    cutoffs = quality_rules.calibrate(docs, read(spark, sf_dir, "labels"))
-    return quality_rules.measure(docs, cutoffs)
+    rows = quality_rules.measured(docs)
+    return quality_rules.judged(rows, quality_rules.calibrate(rows, read(spark, sf_dir, "labels")))
 
 
 def op3_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
