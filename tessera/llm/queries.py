@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, packing, pairwise_quality, pii, quality_rules, sharding, simhash
+from . import chat, decontaminate, line_dedup, packing, pairwise_quality, pii, quality_rules, sharding, simhash, toxic_crf
 from .shared import crc_mod, read
 
 
@@ -34,6 +34,12 @@ def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op6_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxic_crf.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return toxic_crf.score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "spans")
+
+
 #: A conversation whose texts hold the template's own control strings.
 CONTROL = "\\### Assistant: </turn> ok"
 
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pairwise_quality": op3_pairwise_quality,
         "op4_feistel_sharding": op4_feistel_sharding,
         "op5_pii": op5_pii,
+        "op6_toxic_crf": op6_toxic_crf,
         "op7_prefix_target": op7_prefix_target,
         "op8_decontaminate": op8_decontaminate,
         "op9_simhash": op9_simhash,
