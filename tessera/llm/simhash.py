@@ -41,6 +41,8 @@ from .shared import table
 
 #: Members of a bucket that one task compares with each other.
 LARGE = 4096
+#: Ids that are sent to all tasks at most; beyond that, texts are joined by a shuffle.
+SENT_IDS = 1_000_000
 #: Runs up to this length are compared by shifts, all runs at once.
 SHORT = 48
 
@@ -73,7 +75,7 @@ def fingerprints(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.fromiter((fingerprint(x.as_buffer().to_pybytes(), p.words) for x in batch.column(1)), np.uint64, batch.num_rows)
+            out = np.array([fingerprint(x.as_buffer().to_pybytes(), p.words) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"]]).add("fp", "long"))
@@ -219,5 +221,6 @@ def classes(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_
 
 def representatives(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the class id, with all their columns."""
-    others = classes(docs, p, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(others, id_col, "left_anti").select(*docs.columns)
+    others = table(classes(docs, p, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_other")).distinct(), "others")
+    others = F.broadcast(others) if others.count() <= SENT_IDS else others.hint("merge")
+    return docs.join(others, docs[id_col] == others["_other"], "left_anti")
