@@ -158,6 +158,6 @@ def parsed(content: Column, keep_reading: bool = False) -> Column:
     """The parse as one struct column; select it once and use its fields."""
 
     def run(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_document(x, keep_reading) for x in content], columns=["blocks", *TITLES, "whole"])
+        return pd.DataFrame([parse_document(x, keep_reading) for x in content], columns=["blocks", *TITLES, "whole"], dtype=object)
 
     return F.pandas_udf(run, SCHEMA)(content)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,17 +76,19 @@ def read_books(spark: SparkSession, paths: str | Sequence[str], partitions: int
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(paths).select("path", "content")
     files = files.repartition(partitions) if partitions else files
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _SCHEMA.split(", ")]
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+        schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in _SCHEMA.split(", "))])
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                path = path.as_py()
                 try:
-                    rows = list(read_archive(content))
+                    rows = list(read_archive(content.as_py()))
                 except Exception as e:  # noqa: BLE001  one broken archive is one error row
                     rows = [{"kind": "error", "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame([{"book_id": path} | r for r in rows], columns=columns).astype({"pos": "Int64"})
+                yield pa.RecordBatch.from_pylist([{"book_id": path} | r for r in rows], schema)
 
-    rows = files.mapInPandas(run, _SCHEMA)
+    rows = files.mapInArrow(run, _SCHEMA)
     return Books(
         rows.where("kind = 'spine'").select("book_id", "pos", "item_id", "linear"),
         rows.where("kind = 'item'").select("book_id", "item_id", "name", "content", F.col("pos").alias("ord")),
