@@ -9,13 +9,13 @@ conversation share their beginnings, so the output holds each turn once:
 Example k of a conversation is the concatenation of its pieces up to and with the
 piece whose ``example_no`` is k and ``is_target`` true, and its loss mask is
 ``loss_start`` to ``loss_end`` (code points of that text, end exclusive). Pieces
-after the last assistant turn belong to no example (``example_no`` null) but are
-kept, so conversations can be read back whole. ``whole_examples`` writes examples
+after the last assistant turn have the number of an example that no target ends, so
+they are in none, but are kept: conversations can be read back whole. ``whole_examples`` writes examples
 out in full, which takes the square of a conversation's length.
 
 Template: ``### role: text</turn>`` and a line break. In roles and texts, backslash,
-#, < and (in roles) : get a backslash before them, so no control string is found in
-what a speaker said, and dropping those backslashes gives it back.
+#, < and (in roles) : become a backslash and a letter, so no control string is found
+in what a speaker said, and turning those pairs back restores it.
 
 Conversations are streamed in order through tasks dealt by conv_id, holding one turn
 at a time; a conversation's digest depends on its turns in order, so one
@@ -39,17 +39,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HEAD, COLON, END = "### ", ": ", "</turn>\n"
-#: An unescaped end of turn cannot occur in a text: its < would have a backslash.
-_PIECE = re.compile(r"### ((?:\\.|[^\\:])*): (.*)</turn>\n", re.S)
-_ESCAPED = re.compile(r"\\(.)", re.S)
+_PIECE = re.compile(r"### ([^:]*): (.*)</turn>\n", re.S)
+#: Backslash first: it is part of the other pairs.
+ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
+_BACK = {pair: char for char, pair in ESCAPES}
+_ESCAPED = re.compile(r"\\.", re.S)
 
 
 def _escaped(column, chars: str):
-    return F.regexp_replace(column, f"([{chars}])", r"\\$1")
+    for char, pair in ESCAPES:
+        if char in chars:
+            column = F.replace(column, F.lit(char), F.lit(pair))
+    return column
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(lambda m: _BACK[m[0]], text)
 
 
 def parse(piece: str) -> tuple[str, str]:
@@ -63,8 +68,8 @@ def parse(piece: str) -> tuple[str, str]:
 def expand(conversations: DataFrame, target_role: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """The examples of all conversations; see the module for the columns."""
     said, role = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(role_col), F.lit(""))
-    body = _escaped(said, r"\\#<")
-    head = F.concat(F.lit(HEAD), _escaped(role, r"\\#<:"), F.lit(COLON))
+    body = _escaped(said, "\\#<")
+    head = F.concat(F.lit(HEAD), _escaped(role, "\\#<:"), F.lit(COLON))
     pieces = conversations.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("_turn"), role.alias("_role"), said.alias("_said"),
         F.concat(head, body, F.lit(END)).alias("piece"), F.char_length(head).alias("_head"), F.char_length(body).alias("_body"),

@@ -1,0 +1,170 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from fixtures import documents, frame, words
+
+from tessera.llm import pii
+from tessera.llm import toxic_crf as X
+from tessera.llm.shared import texts
+
+
+def luhn(digits):
+    odd = [int(c) for c in digits[::-1]]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(odd)) % 10 == 0
+
+
+def only(m):
+    return re.sub("[^0-9]", "", m)
+
+
+BASE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(only(m)) <= 19 and luhn(only(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(only(m)) <= 15),
+)
+
+
+def brute(text):
+    found = [(m.start(), n, m.end(), kind) for n, (kind, pattern, valid) in enumerate(BASE) for m in re.finditer(pattern, text or "") if valid(m[0])]
+    return [(k, s, e) for s, n, e, k in sorted(found)]
+
+
+PERSONAL = [
+    "a.b+c@d-e.co.uk, x@y, @z.com a@b.c@d.e a@b.c_x@d.e é@x.yz aé@x.yz",
+    "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.02.3.0255 00000000000000000000001.1.1.1 99999999999999999999.1.1.1",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112 and 4111111111111111 7 4012888888881881",
+    "+1 (743) 555-3824 +12 +123456789012345678 ++44 20 7946 0958. call +1.555.555.0100)",
+    "😀" * 3 + "a@b.cd" + "é" * 50 + " 10.0.0.1\n4111111111111111",
+    "a@b.cd " * 700,
+    "9" * 30_000 + " " + "a" * 30_000 + "@" + ".1" * 20_000,
+    "+" * 1000 + "1" * 12,
+    None,
+    "",
+]
+IBAN = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE89370400440532013001", "FR1420041010050500013M02606"]
+
+
+def detected(spark, rows, **options):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, spans string")
+    return {r["doc_id"]: r["spans"] for r in pii.detect(docs, **options).collect()}
+
+
+def test_base_spans_equal_brute_force(spark):
+    rows = PERSONAL + [d[1] for d in documents()]
+    for i, spans in detected(spark, rows).items():
+        assert [(s["kind"], s["start"], s["end"]) for s in spans if s["kind_no"] < 4] == brute(rows[i])
+
+
+def test_random_texts_equal_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["@", ".", "+", "-", " ", "(", "_", "é", "a", "b.c", "1", "22", "333", "4111", "1111 1111", "255", "\n"]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(800)]
+    for i, spans in detected(spark, rows).items():
+        assert [(s["kind"], s["start"], s["end"]) for s in spans if s["kind_no"] < 4] == brute(rows[i]), rows[i]
+
+
+def test_checksums_and_context(spark):
+    found = detected(spark, [f"pay {x} now" for x in IBAN] + ["my ssn is 123-45-6789", "part 123-45-6789", "social security 000-45-6789", "call +1 743 555 3824", "v +1 743 555 3824 x"])
+    kinds = [[s["kind"] for s in found[i] if s["kind"] in ("iban", "ssn")] for i in range(7)]
+    assert kinds == [["iban"], ["iban"], [], ["iban"], ["ssn"], [], []]
+    assert found[7][0]["score"] > found[8][0]["score"]
+    assert [s["kind"] for s in detected(spark, ["part 123-45-6789"], threshold=0.2)[0]] == ["ssn"]
+
+
+def test_pii_is_native_and_handles_no_rows(spark, empty):
+    plan = pii.detect(empty)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and pii.detect(empty).count() == 0
+
+
+def test_listing(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(0, "x 1.2.3.4 a@b.cd")], "doc_id long, text string")
+    text = pii.detect(docs).select(pii.listed(F.col("spans"))).first()[0]
+    assert text == "ip:2:9,email:10:16"
+    assert hashlib.sha256(text.encode()).hexdigest()
+
+
+def chain_marginals(energy, first, move, start):
+    """Forward-backward by enumeration of all tag sequences of each chain."""
+    import itertools
+
+    out, cuts = [], [*np.flatnonzero(first), len(energy)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        total, hit = 0.0, np.zeros(b - a)
+        for tags in itertools.product((0, 1), repeat=b - a):
+            w = np.exp(start * tags[0] + sum(energy[a + i] * t for i, t in enumerate(tags)) + sum(move[x, y] for x, y in zip(tags, tags[1:], strict=False)))
+            total += w
+            hit += w * np.array(tags)
+        out += list(hit / total)
+    return np.array(out)
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(6)
+    first = np.array([1, 0, 0, 0, 1, 1, 0, 1, 0, 0, 0, 0, 0], bool)
+    energy, move = rng.normal(size=len(first)), rng.normal(size=(2, 2))
+    assert np.allclose(X.marginals(energy, first, move, 0.3), chain_marginals(energy, first, move, 0.3))
+
+
+def test_gradient_climbs_the_likelihood():
+    """At the optimum, expected and seen counts of moves agree up to the penalty."""
+    rng = np.random.default_rng(7)
+    first = rng.random(400) < 0.2
+    first[0] = True
+    tag = (rng.random(400) < 0.3).astype(int)
+    features = np.stack([tag * 2 + (rng.random(400) < 0.2), np.full(400, 7), np.full(400, -1), np.full(400, -1), np.full(400, -1)], 1)
+    m = X.learn(features, first, tag, X.Params(steps=600))
+    w = dict(zip(m.at.tolist(), m.weight.tolist(), strict=True))
+    p, moved, _ = X.marginals(np.array([sum(w.get(f, 0) for f in row) for row in features.tolist()]), first, m.move, m.start, pairs=True)
+    inner = np.flatnonzero(~first)
+    assert np.allclose(moved.ravel()[1:], np.bincount(tag[inner - 1] * 2 + tag[inner], minlength=4)[1:], atol=2)
+
+
+def corpus(n=600, seed=9):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        toxic, w = i % 6 == 0, words(60, rng).split()
+        if toxic:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(("Zwerk", "frobbish", "grulm" + words(1, rng))))
+        rows.append((i, " ".join(w) + ".", "en", "s", 0, 0))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_toxic_scores_and_spans_on_held_out_texts(spark):
+    rows, labels = corpus()
+    docs = frame(spark, rows)
+    train = spark.createDataFrame([x for x in labels if x[0] % 4], "doc_id long, toxic int")
+    found = {r["doc_id"]: r for r in X.score(docs, X.fit(docs, train)).collect()}
+    held = [(i, t) for i, t in labels if i % 4 == 0]
+    assert np.mean([found[i]["predicted"] == t for i, t in held]) > 0.97
+    bad = re.compile("zwerk|frobbish|grulm.*", re.I)
+    spans = [rows[i][1][s["start"] : s["end"]] for i, t in held if t for s in found[i]["spans"]]
+    assert len(spans) > 50 and np.mean([all(bad.fullmatch(w) for w in s.split()) for s in spans]) > 0.97
+
+
+def test_toxic_edge_cases(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r["score"] for r in X.score(docs, X.fit(docs, none)).collect()} == {0.0}
+    rows, labels = corpus()
+    model = X.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["score"] for r in X.score(docs.withColumnRenamed("source", "score"), model).collect()}
+    assert len(found) == len(documents()) and found[0] == found[1] == 0.0 and all(0 <= s <= 1 for s in found.values())
+    assert X.score(empty, model).count() == 0
+
+
+def test_tokens_and_chains():
+    import pyarrow as pa
+
+    buf, offsets = texts(pa.array(["Ab cd. éf", None, "x1y\nz"]))
+    t = X.tokens(buf, offsets)
+    assert [bytes(buf[a:b]).decode() for a, b in zip(t.start, t.end, strict=True)] == ["Ab", "cd", "éf", "x", "y", "z"]
+    assert t.first.tolist() == [True, False, True, True, False, True] and t.owner.tolist() == [0, 0, 0, 2, 2, 2]
+    assert pytest.approx(t.features.shape[1]) == X.OWN + 2
