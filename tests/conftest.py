@@ -28,6 +28,11 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def data_dir():
+    return DATA
+
+
 @pytest.fixture(scope="session")
 def compare():
     """Rows of a Spark query and of its DuckDB twin over one folder of tables."""

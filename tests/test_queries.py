@@ -1,15 +1,14 @@
 """Every registered query of the extraction operators against its DuckDB twin."""
 
 import pytest
-from conftest import DATA
 
 from tessera import oracle
 from tessera import queries as own
 
 
 @pytest.mark.parametrize("name", sorted(own.queries()))
-def test_query_equals_twin(spark, compare, name):
-    found, expected = compare(spark, f"{DATA}/sf0.001", own.queries()[name], oracle.oracle_sql()[name])
+def test_query_equals_twin(spark, compare, data_dir, name):
+    found, expected = compare(spark, f"{data_dir}/sf0.001", own.queries()[name], oracle.oracle_sql()[name])
     assert found == expected
 
 
