@@ -36,6 +36,10 @@ class ExtractResult:
     cancelled: bool = False
 
 
+def default_output_dir(epub_path: str) -> Path:
+    return Path(epub_path).parent / "output"
+
+
 def extract(spine: DataFrame, items: DataFrame, cfg: book.Config = book.Config()) -> Extraction:
     ship(spine.sparkSession)
     rows = book.chapters(spine, items, cfg)
@@ -50,15 +54,15 @@ def extract_paths(spark: SparkSession, paths: str | Sequence[str], cfg: book.Con
 def extract_epub(
     spark: SparkSession,
     epub_path: str,
-    out_dir: str,
+    out_dir: str | None = None,
     cfg: book.Config = book.Config(),
     log: Callable[[str], None] = print,
     on_progress: Callable[[int, int, str, bool | None], None] | None = None,
     is_cancelled: Callable[[], bool] | None = None,
 ) -> ExtractResult:
-    """One book to text files below ``out_dir``. ``is_cancelled`` is asked before each
+    """One book to text files below ``out_dir`` (by default, a folder beside the book). ``is_cancelled`` is asked before each
     item in reading order; once it says yes, nothing is written."""
-    out = Path(out_dir)
+    out = Path(out_dir) if out_dir else default_output_dir(epub_path)
     out.mkdir(parents=True, exist_ok=True)
     found = read_books(spark, epub_path)
     if broken := found.errors.head(1):
@@ -84,7 +88,7 @@ def extract_epub(
             log("No chapter text found. The EPUB may use an unsupported structure.")
             return ExtractResult(out, 0, 0, 0)
         write_files(book.outputs(rows, cfg), str(out))
-        for r in book.closing(result, cfg).orderBy("line_no").collect():
+        for r in book.closing(result, cfg, str(out)).orderBy("line_no").collect():
             log(r["line"])
         name = lambda c: out / row[c] if row[c] else None
         return ExtractResult(out, row["total_items"], row["chapter_count"], row["non_chapter_count"], name("non_chapter_dir"), name("combined_file"))

@@ -111,22 +111,36 @@ def summary(spine: DataFrame, rows: DataFrame, cfg: Config = Config()) -> DataFr
     )
 
 
-def closing(result: DataFrame, cfg: Config = Config()) -> DataFrame:
+def closing(result: DataFrame, cfg: Config = Config(), out_dir: str = "output") -> DataFrame:
     """book_id, line_no, line: the lines that end a book's log."""
+    out = out_dir.rstrip("/")
     if cfg.single_file:
-        line = F.format_string("Wrote %d chapters to %s", "chapter_count", "combined_file")
-        lines = F.array(line)
+        lines = F.array(F.format_string("Wrote %d chapters to %s/%s", "chapter_count", F.lit(out), "combined_file"))
     elif not cfg.detect_chapters:
-        lines = F.array(F.format_string("Wrote %d chapter files", "chapter_count"))
+        lines = F.array(F.format_string("Wrote %d chapter files to %s", "chapter_count", F.lit(out)))
     else:
-        more = F.array(F.format_string("Wrote %d non-chapter file(s) to %s", "non_chapter_count", "non_chapter_dir"))
-        lines = F.concat(F.array(F.format_string("Wrote %d chapter file(s)", "chapter_count")), F.when(F.col("non_chapter_count") > 0, more).otherwise(F.array().cast("array<string>")))
+        more = F.array(F.format_string("Wrote %d non-chapter file(s) to %s/%s", "non_chapter_count", F.lit(out), "non_chapter_dir"))
+        lines = F.concat(F.array(F.format_string("Wrote %d chapter file(s) to %s", "chapter_count", F.lit(out))), F.when(F.col("non_chapter_count") > 0, more).otherwise(F.array().cast("array<string>")))
     none = F.array(F.lit("No chapter text found. The EPUB may use an unsupported structure."))
     some = F.col("chapter_count") + F.col("non_chapter_count") > 0
     stopped = F.array(F.lit("Cancelled by user."))
     return result.select("book_id", F.posexplode(F.when(F.col("cancelled"), stopped).when(some, lines).otherwise(none)).alias("line_no", "line"))
 
 
+def log_tag(line: Column) -> Column:
+    """How a front end marks a log line; null for a blank one."""
+    plain = X.strip(line)
+    low = F.lower(plain)
+    tag = F.when(low.startswith("wrote") & low.contains("chapter"), "success").when(low.contains("cancelled"), "error").otherwise("text")
+    return F.when(plain != "", tag)
+
+
+def unmatched(result: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """book_id, n: the books whose items all went with the non-chapters, worth a hint."""
+    hit = (F.col("chapter_count") == 0) & (F.col("non_chapter_count") > 0) & ~F.col("cancelled")
+    return result.where(hit & F.lit(cfg.classify)).select("book_id", F.col("non_chapter_count").alias("n"))
+
+
 def cancelled(spine: DataFrame, before: int) -> DataFrame:
     """The summary of books stopped before the item at position ``before``: nothing is
     counted or written. Books with fewer items are not stopped and have no row."""

@@ -148,10 +148,19 @@ def oracle_sql() -> dict[str, str]:
         "run_summary_flat": _summary(*_ALL, "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)"),
         "run_summary_single": _summary(*_ALL, "CAST(NULL AS VARCHAR)", "CASE WHEN c > 0 THEN z.book_id || '_full_text.txt' END"),
         "empty_book": f"""WITH x AS ({_summary(*_SPLIT, blank=_HALF)})
-            SELECT book_id, CAST(0 AS BIGINT) AS line_no, CASE WHEN chapter_count + non_chapter_count = 0 THEN 'No chapter text found. The EPUB may use an unsupported structure.' ELSE 'Wrote ' || chapter_count || ' chapter file(s)' END AS line FROM x
-            UNION ALL SELECT book_id, 1, 'Wrote ' || non_chapter_count || ' non-chapter file(s) to non-chapters-files' FROM x WHERE non_chapter_count > 0""",
+            SELECT book_id, CAST(0 AS BIGINT) AS line_no, CASE WHEN chapter_count + non_chapter_count = 0 THEN 'No chapter text found. The EPUB may use an unsupported structure.' ELSE 'Wrote ' || chapter_count || ' chapter file(s) to output' END AS line FROM x
+            UNION ALL SELECT book_id, 1, 'Wrote ' || non_chapter_count || ' non-chapter file(s) to output/non-chapters-files' FROM x WHERE non_chapter_count > 0""",
         "process_log": f"""{_BOOK} SELECT book_id, pos, '  [' || printf('%03d', pos) || '/' || printf('%03d', total) || '] ' || CASE WHEN text = '' THEN '(empty, skipped) "' || title || '"'
             ELSE CASE WHEN is_chapter THEN 'chapter' ELSE 'non-chapter' END || ': "' || title || '" (' || length(text) || ' chars)' END AS line FROM r""",
+        "log_tags": f"""WITH y AS ({_summary(*_SPLIT)}),
+            w AS ({_BOOK} SELECT book_id, '[' || printf('%03d', pos) || '/' || printf('%03d', total) || '] ' || CASE WHEN text = '' THEN '(empty, skipped) "' || t || '"'
+              ELSE CASE WHEN is_chapter THEN 'chapter' ELSE 'non-chapter' END || ': "' || t || '" (' || length(text) || ' chars)' END AS line, CASE WHEN t = 'cancelled' THEN 'error' ELSE 'text' END AS tag
+              FROM (SELECT *, CASE WHEN pos = 2 THEN 'cancelled' ELSE title END AS t FROM r))
+            SELECT * FROM w
+            UNION ALL SELECT book_id, 'Wrote ' || chapter_count || ' chapter file(s) to output', 'success' FROM y WHERE chapter_count + non_chapter_count > 0
+            UNION ALL SELECT book_id, 'Wrote ' || non_chapter_count || ' non-chapter file(s) to output/non-chapters-files', 'success' FROM y WHERE non_chapter_count > 0
+            UNION ALL SELECT book_id, 'No chapter text found. The EPUB may use an unsupported structure.', 'text' FROM y WHERE chapter_count + non_chapter_count = 0""",
+        "unmatched_books": f"SELECT book_id, non_chapter_count AS n FROM ({_summary(*_SPLIT)}) WHERE chapter_count = 0 AND non_chapter_count > 0",
         "progress_events": f"{_BOOK} SELECT book_id, pos, total, title, is_chapter, CAST(floor(CAST(pos AS DOUBLE) / total * 100) AS BIGINT) AS percent FROM r",
         "cancel_prefix": f"""{_BOOK}, e AS (SELECT book_id, count(*) AS events FROM r WHERE pos < 3 GROUP BY book_id), l AS (SELECT book_id, max(pos) AS m FROM s GROUP BY book_id)
             SELECT l.book_id, CAST(2 AS BIGINT) AS total_items, CAST(0 AS BIGINT) AS chapter_count, CAST(0 AS BIGINT) AS non_chapter_count, true AS cancelled, CAST(coalesce(events, 0) AS BIGINT) AS events

@@ -244,6 +244,17 @@ def process_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.log(_chapters(spark, sf_dir, SPLIT), SPLIT)
 
 
+def log_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _chapters(spark, sf_dir, SPLIT)
+    ends = book.closing(_summary(spark, sf_dir, SPLIT)).select("book_id", "line")
+    lines = book.log(rows.withColumn("title", F.when(F.col("pos") == 2, "cancelled").otherwise(F.col("title"))), SPLIT).select("book_id", "line").unionByName(ends)
+    return lines.select("book_id", X.strip(F.col("line")).alias("line"), book.log_tag(F.col("line")).alias("tag"))
+
+
+def unmatched_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return book.unmatched(_summary(spark, sf_dir, SPLIT))
+
+
 def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.progress(_chapters(spark, sf_dir, SPLIT))
 
@@ -268,7 +279,7 @@ _QUERIES = (
     page_blocks, page_text, page_title, page_no_block_fallback, page_nested_blocks, ruby_strip, ruby_keep, script_style_dropped, collapse_newlines, unicode_strip,
     scene_breaks, scene_breaks_kept, paragraph_join, chapter_predicate, safe_filename, fallback_title, padded_index, text_length, spine_join, spine_totals, empty_filter,
     labels, labels_flat, chapter_numbering, output_paths, flat_paths, single_file, single_beats_flat, run_summary, run_summary_flat, run_summary_single, empty_book,
-    process_log, progress_events, cancel_prefix, duration_format, terminal_state,
+    process_log, log_tags, unmatched_books, progress_events, cancel_prefix, duration_format, terminal_state,
 )
 
 

@@ -132,7 +132,7 @@ def test_epub_to_files(spark, epub, tmp_path):
     assert {str(p.relative_to(tmp_path / "out")): p.read_text("utf-8") for p in (tmp_path / "out").rglob("*.txt")} == TEXTS
     assert (result.total_items, result.chapter_count, result.non_chapter_count) == (7, 3, 3)
     assert len(events) == 7 and events[6] == (7, 7, "cover", None)
-    assert lines[-2:] == ["Wrote 3 chapter file(s)", "Wrote 3 non-chapter file(s) to non-chapters-files"]
+    assert lines[-2:] == [f"Wrote 3 chapter file(s) to {tmp_path}/out", f"Wrote 3 non-chapter file(s) to {tmp_path}/out/non-chapters-files"]
 
 
 def test_cancel(spark, epub, tmp_path):
@@ -178,3 +178,12 @@ def test_cli(spark, epub, tmp_path, capsys):
     assert cli.main([str(epub), "-o", str(tmp_path / "o"), "--flat"]) == 0
     assert sorted(p.name for p in (tmp_path / "o").iterdir()) == FLAT
     assert cli.config(cli.arguments(["x", "--keep-furigana", "--single-file", "--keep-scene-markers"])) == book.Config(True, True, True, True)
+
+
+def test_log_tags_and_hint(spark):
+    lines = ["Wrote 3 chapter file(s) to x", "Cancelled by user.", '  [001/002] item: "a" (1 chars)', '  [001/002] item: "Cancelled" (1 chars)', " ", "Wrote nothing"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    assert [r[0] for r in rows.orderBy("i").select(book.log_tag(F.col("line"))).collect()] == ["success", "error", "text", "error", None, "text"]
+    result = spark.createDataFrame([("a", 0, 2, False), ("b", 1, 2, False), ("c", 0, 0, True)], "book_id string, chapter_count long, non_chapter_count long, cancelled boolean")
+    assert [tuple(r) for r in book.unmatched(result).collect()] == [("a", 2)]
+    assert book.unmatched(result, book.Config(detect_chapters=False)).count() == 0
