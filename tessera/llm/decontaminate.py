@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 from .shared import chunks
 
 _TABLE_BITS = 22
+#: Pairs of a hit and its place in an item that are held at once.
+SPREAD = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,14 +135,7 @@ class Index:
         np.add.at(reach, full + ahead[full], -1)
         dense = np.cumsum(reach[:-1]) > 0
         hit, row = hit[dense], row[dense]
-        times = self.last[row] - self.first[row]
-        into = np.repeat(self.first[row] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        where, pattern = np.repeat(hit, times), self.pattern[into]
-        diagonal = where - self.at[into]
-        band = np.floor_divide(diagonal, self.edits[pattern] + 1)
-        # the text is part of the key: diagonals of two texts may meet in a band
-        key = np.stack([np.tile(owner[where], 2), np.tile(pattern, 2), np.concatenate([band, band - 1])], 1)
-        key, n = np.unique(key, axis=0, return_counts=True)
+        key, n = self._bands(hit, row, owner)
         best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for t, m, b in key[n >= self.bound[key[:, 1]]].tolist():
             if r := self._verify(chars, owner, t, self.patterns[m], b * (int(self.edits[m]) + 1)):
@@ -154,6 +149,28 @@ class Index:
                     out.append((t, self.patterns[m].item, int(place[start]), int(place[end - 1]) + 1, edits))
         return out
 
+    def _bands(self, hit: np.ndarray, row: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, pattern, band) and its hits. A frequent q-gram has many places in
+        items, so hits are spread out and counted some at a time."""
+        times = self.last[row] - self.first[row]
+        ends, at = np.cumsum(times), 0
+        keys, counts = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)]
+        while at < len(hit):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPREAD, "right")))
+            n = times[at:to]
+            into = np.repeat(self.first[row[at:to]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            where, pattern = np.repeat(hit[at:to], n), self.pattern[into]
+            band = np.floor_divide(where - self.at[into], self.edits[pattern] + 1)
+            # the text is part of the key: diagonals of two texts may meet in a band
+            key, count = np.unique(np.stack([np.tile(owner[where], 2), np.tile(pattern, 2), np.concatenate([band, band - 1])], 1), axis=0, return_counts=True)
+            keys.append(key)
+            counts.append(count)
+            at = to
+        if len(keys) == 2:
+            return keys[1], counts[1]
+        key, same = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
+        return key, np.bincount(same.ravel(), np.concatenate(counts), minlength=len(key)).astype(np.int64)
+
     def _verify(self, chars: np.ndarray, owner: np.ndarray, t: int, x: Pattern, low: int) -> tuple[int, int, int] | None:
         """Edits, start and end of the best alignment in the band of diagonals from
         ``low``, widened by k on both sides; None if it takes over k edits."""

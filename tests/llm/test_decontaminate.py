@@ -75,6 +75,15 @@ def test_copies_long_items_blocks_and_short_items(spark):
         assert sorted(r["doc_id"] for r in D.clean(frame(spark, rows), table(spark, items), D.Params(block_chars=block)).collect()) == [3]
 
 
+def test_hits_counted_in_parts(monkeypatch):
+    rng = random.Random(5)
+    texts = [edited(t, 3, rng) + " " + words(20, rng) for _, t in ITEMS] * 2
+    index = D.Index(ITEMS, D.Params())
+    whole = sorted(index.search(texts))
+    monkeypatch.setattr(D, "SPREAD", 7)
+    assert sorted(index.search(texts)) == whole and len(whole) == 24
+
+
 @pytest.mark.parametrize("items", [[], [(1, None)], ITEMS])
 def test_awkward_texts_and_empty_tables(spark, docs, empty, items):
     bench = table(spark, items)
