@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 2 * len(_POWERS[0]))
+        size = -(-n // (1 << 18)) << 18
         for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             step = np.full(size, base, np.uint64)
             step[0] = 1

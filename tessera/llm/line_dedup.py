@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import chunks, table
 
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 SLOTS = 4
@@ -178,7 +178,7 @@ def keyed(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "_text")):
             owner, keys = [], []
             for i, text in enumerate(batch.column(1)):
                 own = {line_key(x, p.min_chars) for x in text.as_buffer().to_pybytes().split(b"\n")} - {None}
@@ -283,7 +283,7 @@ class LineIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             probe = Probe(filters.value, p.shards) if small else None
-            for batch in batches:
+            for batch in (part for whole in batches for part in chunks(whole, "_text")):
                 split = [x.as_buffer().to_pybytes().split(b"\n") for x in batch.column(2)]
                 if small:
                     at = [(i, j, key) for i, own in enumerate(split) for j, x in enumerate(own) if (key := line_key(x, p.min_chars))]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 #: Bytes of text that a NumPy kernel works on at once (a longer text is alone).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import chunks, table
 
 #: Members of a bucket that one task compares with each other.
 LARGE = 4096
@@ -75,8 +75,9 @@ def fingerprints(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.array([fingerprint(x.as_buffer().to_pybytes(), p.words) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            for part in chunks(batch, "_text"):
+                out = np.array([fingerprint(x.as_buffer().to_pybytes(), p.words) for x in part.column(1)], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"]]).add("fp", "long"))
 
