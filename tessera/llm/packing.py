@@ -13,8 +13,8 @@ range of sequence numbers and pieces are a range of ranks. Every piece then find
 its place from its rank among pieces of its length, which comes from counts per
 input partition; no group is gathered.
 
-Tokens: texts are split at spaces and line breaks, which no token of the tokenizer
-crosses, and each distinct word is encoded once per worker.
+Tokens: texts are cut where no token of the tokenizer crosses, and a worker encodes
+each frequent word once.
 
 Defined cases: a null text is empty (one piece, the end id alone); repeated rows are
 packed each; an empty table gives no rows; other columns are not read.
@@ -23,10 +23,14 @@ packed each; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,8 @@ from pyspark.sql import types as T
 
 from .shared import chunks, table
 
-#: Words that a worker keeps the ids of; beyond that it starts anew.
-CACHE = 400_000
+#: Words that a worker keeps the ids of, about: the first ones, which hold the frequent ones.
+CACHE = 300_000
 
 
 @dataclass(frozen=True)
@@ -56,25 +60,71 @@ class Params:
     end_id: int = 0
 
 
+def _pattern() -> re.Pattern:
+    """The tokenizer's own cuts, for texts of characters below U+0250."""
+    letters, numbers = ("".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] == k) for k in "LN")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r\x20\x85\xa0{letters}{numbers}]+")
+
+
+PLAIN = 0x250
+#: What is not plain: İ is two characters in lower case; later ones may compose or depend on their neighbours.
+_ODD = re.compile(f"[İ{chr(PLAIN)}-{chr(0x10FFFF)}]")
+
+
+class _Kept(dict):
+    """Word to ids; words beyond the limit are those of the batch in hand."""
+
+    def __init__(self) -> None:
+        super().__init__({"": b""})
+        self.batch: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.batch[word]
+
+
 class Encoder:
-    """Text to little-endian unsigned 32-bit ids, by way of a word cache."""
+    """Text to little-endian unsigned 32-bit ids, by way of a word cache.
+
+    Plain texts are lower-cased and cut into the tokenizer's words; in others the words
+    are what spaces and line breaks part. No token crosses either cut."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.path, self.kept, self.cut = path, _Kept(), _pattern().findall
+
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
+    @cached_property
+    def bare(self):
+        """Without what has been done to plain words: they come normal and cut."""
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {"": b""}
+        out = Tokenizer.from_file(self.path)
+        out.normalizer, out.pre_tokenizer, out.encode_special_tokens = None, ByteLevel(add_prefix_space=False, use_regex=False), True
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = {"": b""}
-        new = list({w for words in split for w in words if w not in self.cache})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        of = self.cache.__getitem__
+        odd = [bool(_ODD.search(t)) for t in texts]
+        split = [t.replace("\n", " ").split(" ") if o else self.cut(t.lower()) for t, o in zip(texts, odd, strict=True)]
+        kept = self.kept
+        kept.batch.clear()
+        into = kept if len(kept) < CACHE else kept.batch
+        for which in (False, True):
+            new = list(set().union(*(w for w, o in zip(split, odd, strict=True) if o == which)) - kept.keys())
+            tokenizer = (self.whole if which else self.bare) if new else None
+            for at in range(0, len(new), 4096):
+                some = new[at : at + 4096]
+                for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    into[w] = array("I", e.ids).tobytes()
+        of = kept.__getitem__
         return [b"".join(map(of, words)) for words in split]
 
 
