@@ -47,8 +47,8 @@ _SALT = [np.uint64(0x632BE59BD9B4E019 * (i + 1) % 2**64) for i in range(OWN + 2)
 
 @dataclass(frozen=True)
 class Params:
-    toxic_rows: int = 1200
-    clean_rows: int = 2400
+    toxic_rows: int = 500
+    clean_rows: int = 1000
     row_bytes: int = 200_000
     rounds: int = 2
     steps: int = 40
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str =
     each = [np.frombuffer(r["x"], "<i4").reshape(-1, OWN + 3) for r in found]
     toxic = np.array([r["_toxic"] for r in found], bool)
     owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    return learned(np.concatenate(each).astype(np.int64), owner, toxic, p) if len(owner) else None
+    return learned(np.concatenate(each), owner, toxic, p) if len(owner) else None
 
 
 def learned(each: np.ndarray, owner: np.ndarray, toxic: np.ndarray, p: Params = Params()) -> Model | None:
