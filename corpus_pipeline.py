@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, packing, quality_rules, simhash
+from tessera.llm import decontaminate, line_dedup, packing, quality_rules
+from tessera.llm import near_copies as copies
 from tessera.llm.queries import tokenizer_path
 from tessera.llm.shared import read, table
 
@@ -30,8 +31,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each class of near copies."""
-    return simhash.representatives(docs)
+    """One document, that of the least doc_id, of each class of texts whose five-word
+    shingles have a similarity of 0.8 or more."""
+    return copies.representatives(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
