@@ -221,7 +221,12 @@ def classes(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_
 
 
 def representatives(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the class id, with all their columns."""
-    others = table(classes(docs, p, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_other")).distinct(), "others")
+    """One row of ``docs`` for each class, with all its columns: that of the least id, a
+    null one last, and of repeated ids one row. Rows are told apart by a number of their own."""
+    rows = table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ids = rows.select(F.col("_row").alias("doc_id"), F.col(id_col).alias("_id"))
+    named = table(classes(rows, p, "_row", text_col).join(ids, "doc_id").select("doc_id", "_id", "component_id"), "named")
+    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "doc_id")).alias("least"))
+    others = table(named.join(least, "component_id").where("doc_id <> least.doc_id").select(F.col("doc_id").alias("_row")), "others")
     others = F.broadcast(others) if others.count() <= SENT_IDS else others.hint("merge")
-    return docs.join(others, docs[id_col] == others["_other"], "left_anti")
+    return rows.join(others, "_row", "left_anti").select(*docs.columns)
