@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,8 @@ class Extraction:
     log: DataFrame
     progress: DataFrame
     summary: DataFrame
+    #: book_id and error of archives that were not read; None if the tables were given.
+    errors: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ def extract(spine: DataFrame, items: DataFrame, cfg: book.Config = book.Config()
 
 def extract_paths(spark: SparkSession, paths: str | Sequence[str], cfg: book.Config = book.Config()) -> Extraction:
     found = read_books(spark, paths)
-    return extract(found.spine, found.items, cfg)
+    return replace(extract(found.spine, found.items, cfg), errors=found.errors)
 
 
 def extract_epub(
