@@ -111,16 +111,46 @@ def test_marginals_equal_enumeration():
     assert np.allclose(X.marginals(energy, first, move, 0.3), chain_marginals(energy, first, move, 0.3))
 
 
+@pytest.mark.parametrize("span", [1, 2, 3, 5, 256])
+def test_chains_longer_than_a_block(monkeypatch, span):
+    rng = np.random.default_rng(11)
+    first = rng.random(60) < 0.12
+    first[0] = True
+    energy, move = rng.normal(size=60) * 3, rng.normal(size=(2, 2))
+    expected = X.marginals(energy, first, move, -0.4, pairs=True)
+    monkeypatch.setattr(X, "SPAN", span)
+    for got, want in zip(X.marginals(energy, first, move, -0.4, pairs=True), expected, strict=True):
+        assert np.allclose(got, want)
+    cut = [i for i in np.flatnonzero(first) if i <= 12][-1]
+    if cut:
+        assert np.allclose(X.marginals(energy, first, move, -0.4)[:cut], chain_marginals(energy[:cut], first[:cut], move, -0.4))
+
+
+def test_a_million_tokens_without_a_stop():
+    import time
+
+    rng = np.random.default_rng(12)
+    energy, first = rng.normal(size=10**6) * 20, np.zeros(10**6, bool)
+    first[0] = True
+    begun = time.monotonic()
+    p = X.marginals(energy, first, np.array([[0.0, -2], [-1, 1]]), -1.0)
+    assert np.isfinite(p).all() and (p >= 0).all() and (p <= 1).all() and time.monotonic() - begun < 5
+    # what is far away does not matter
+    assert np.allclose(p[:500], X.marginals(energy[:600], first[:600], np.array([[0.0, -2], [-1, 1]]), -1.0)[:500])
+
+
 def test_gradient_climbs_the_likelihood():
     """At the optimum, expected and seen counts of moves agree up to the penalty."""
     rng = np.random.default_rng(7)
     first = rng.random(400) < 0.2
     first[0] = True
     tag = (rng.random(400) < 0.3).astype(int)
-    features = np.stack([tag * 2 + (rng.random(400) < 0.2), np.full(400, 7), np.full(400, -1), np.full(400, -1), np.full(400, -1)], 1)
-    m = X.learn(features, first, tag, X.Params(steps=600))
+    own = np.stack([tag * 2 + (rng.random(400) < 0.2), np.full(400, 7), np.full(400, 8)], 1).astype(np.int32)
+    m = X.learn(own, first, tag, X.Params(steps=600))
     w = dict(zip(m.at.tolist(), m.weight.tolist(), strict=True))
-    p, moved, _ = X.marginals(np.array([sum(w.get(f, 0) for f in row) for row in features.tolist()]), first, m.move, m.start, pairs=True)
+    before, after = (X.beside(own[:, 0], side).tolist() for side in (0, 1))
+    energy = [sum(w.get(f, 0) for f in row) + (0 if first[i] else w.get(before[i - 1], 0)) + (w.get(after[i + 1], 0) if i < 399 and not first[i + 1] else 0) for i, row in enumerate(own.tolist())]
+    p, moved, _ = X.marginals(np.array(energy), first, m.move, m.start, pairs=True)
     inner = np.flatnonzero(~first)
     assert np.allclose(moved.ravel()[1:], np.bincount(tag[inner - 1] * 2 + tag[inner], minlength=4)[1:], atol=2)
 
@@ -167,4 +197,14 @@ def test_tokens_and_chains():
     t = X.tokens(buf, offsets)
     assert [bytes(buf[a:b]).decode() for a, b in zip(t.start, t.end, strict=True)] == ["Ab", "cd", "éf", "x", "y", "z"]
     assert t.first.tolist() == [True, False, True, True, False, True] and t.owner.tolist() == [0, 0, 0, 2, 2, 2]
-    assert pytest.approx(t.features.shape[1]) == X.OWN + 2
+    assert t.own.shape == (6, X.OWN)
+
+
+def test_the_sample_is_bounded_and_long_rows_make_way(spark):
+    rows = [(i, "x" * (500 if i < 10 else 20), "en", "s", 0, 0) for i in range(40)] + [(20, "again", "en", "s", 0, 0)] * 3
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(30, None), (None, 1)], "doc_id long, toxic int")
+    picked = lambda **p: {(r["_id"], r["_toxic"]) for r in X._sample(frame(spark, rows), labels, X.Params(**p), "doc_id", "text", "toxic").collect()}
+    assert picked() == {(i, i % 2 == 1) for i in range(40)}
+    assert picked(row_bytes=100) == {(i, i % 2 == 1) for i in range(10, 40)}
+    assert len(picked(row_bytes=100, toxic_rows=15, clean_rows=3)) == 18
+    assert len(picked(row_bytes=100, sample_bytes=110)) == 5
