@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -93,17 +94,45 @@ def test_conversations_read_back(spark):
 
 
 def test_examples_hold_all_turns_before_and_only_the_reply(spark):
-    rows = C.whole_examples(C.expand(table(spark, TURNS))).where("conv_id = 1").orderBy("example_no").collect()
+    rows = C.expand(table(spark, TURNS)).where("conv_id = 1").orderBy("example_no").collect()
     first = "### system: s</turn>\n### user: a\\bb\\hc\\ld</turn>\n### assistant: \\h\\h\\h x: y\\l/turn>\n</turn>\n"
-    assert [r["example_no"] for r in rows] == [0, 1]
-    assert rows[0]["text"] == first and rows[1]["text"] == first + "### user: </turn>\n### assistant: </turn>\n"
-    assert [C.unescape(r["text"][r["loss_start"] : r["loss_end"]]) for r in rows] == ["### x: y</turn>\n", ""]
-
-
-def test_pieces_after_the_last_reply_are_in_no_example(spark):
-    rows = C.expand(table(spark, TURNS)).where("conv_id = 1").orderBy("seq").collect()
-    assert [r["example_no"] for r in rows] == [0, 0, 0, 1, 1, 2]
-    assert [r["example_no"] for r in rows if r["is_target"]] == [0, 1]
+    second = first + "### user: </turn>\n### assistant: </turn>\n"
+    assert [r["text"] for r in rows] == [first, second, second + "### user: end</turn>\n"]
+    assert [(r["example_no"], r["is_target"], r["follows"]) for r in rows] == [(0, True, None), (1, True, None), (2, False, None)]
+    assert [C.unescape(r["text"][r["loss_start"] : r["loss_end"]]) for r in rows[:2]] == ["### x: y</turn>\n", ""] and rows[2]["loss_start"] is None
+
+
+def long_turns():
+    rng = random.Random(3)
+    out = [(7, i, rng.choice(("user", "assistant", "tool")), "é<#" * rng.randint(0, 9)) for i in range(60)]
+    return out + [(8, i, "user", "x" * 30) for i in range(9)] + [(8, 9, "assistant", "y" * 400)] + TURNS
+
+
+@pytest.mark.parametrize("limit", [0, 1, 100, 700, 10**6])
+def test_long_conversations_follow_and_read_back(spark, limit):
+    turns = long_turns()
+    rows = C.expand(table(spark, turns), whole_chars=limit)
+    assert {r["conv_id"]: tuple(r)[1:5] for r in C.read_back(rows).collect()} == brute(turns)
+    made = {(r["conv_id"], r["example_no"]): r for r in rows.collect()}
+    own = [t for t in turns if t[0] == 7]
+    pieces = [C.parse(made[7, n]["text"]) for n in range(sum(k[0] == 7 for k in made))]
+    for n in range(len(pieces)):
+        said, at = list(pieces[n]), made[7, n]["follows"]
+        assert at is None or at == n - 1
+        while at is not None:
+            said, at = pieces[at] + said, made[7, at]["follows"]
+        assert said == [(t[2], t[3]) for t in own[: len(said)]]
+        if made[7, n]["is_target"]:
+            assert own[len(said) - 1][2] == "assistant"
+    assert sum(r["is_target"] for r in made.values()) == sum(t[2] == "assistant" for t in turns)
+    assert all(len(r["text"]) <= limit + 500 for r in made.values())
+
+
+def test_examples_out_of_context_are_an_error(spark):
+    rows = C.expand(table(spark, [t for t in TURNS if t[0] == 1]))
+    for broken in (rows.where("example_no <> 0"), rows.withColumn("text", F.when(F.col("example_no") == 1, F.replace("text", F.lit("system"), F.lit("user"))).otherwise(F.col("text")))):
+        with pytest.raises(Exception, match="does not hold all turns before it"):
+            C.read_back(broken).collect()
 
 
 @settings(max_examples=300, deadline=None)
@@ -115,5 +144,5 @@ def test_escapes_are_reversible(role, text):
         return s
 
     piece = C.HEAD + esc(role, "\\#<:") + C.COLON + esc(text, "\\#<") + C.END
-    assert C.parse(piece) == (role, text)
+    assert C.parse(piece) == [(role, text)] and C.parse(piece * 2) == [(role, text)] * 2
     assert "#" not in piece[3:] and piece.count("<") == 1
