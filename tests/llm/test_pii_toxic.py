@@ -75,6 +75,51 @@ def test_checksums_and_context(spark):
     assert [s["kind"] for s in detected(spark, ["part 123-45-6789"], threshold=0.2)[0]] == ["ssn"]
 
 
+def test_secrets_and_lists(spark):
+    key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    rows = [
+        f'token = "{key}" x', f"API_KEY: {key}=", f"commit {key}", "token = aaaaaaaaaaaaaaaaaaaaaaaaaaaa", f"x {key} x", f"my_secret='{key[:19]}'", f"Token {key}é",
+        "SSN: 123-45-6789, 234-56-7891, 345-67-8912", "hotel 123-45-6789 assn", "é" * 80 + " ssn " + "é" * 33 + " 123-45-6789", "é" * 80 + " ssn " + "é" * 39 + " 123-45-6789",
+        "123-45-6789 " + "😀" * 34 + " ssn", "123-45-6789 " + "😀" * 36 + " ssn", "123-45-6789" + " " * 37 + "ssn", "123-45-6789" + " " * 37 + "ssns",
+    ]
+    found = detected(spark, rows)
+    kinds = [[s["kind"] for s in found[i]] for i in range(len(rows))]
+    assert kinds[:7] == [["secret"], ["secret"], [], [], [], [], ["secret"]]
+    assert [rows[i][s["start"] : s["end"]] for i in (0, 1, 6) for s in found[i]] == [key, key + "=", key]
+    assert kinds[7] == ["ssn"] * 3 and kinds[8] == [] and kinds[9] == ["ssn"] and kinds[10] == []
+    assert [len(k) for k in kinds[11:]] == [1, 0, 1, 0]
+
+
+CONTEXT = {"hotel reception": 0, "tel": 1, "locally": 0, "Call": 1, "CALLED": 0, "(fax)": 1}
+
+
+def test_context_takes_whole_words_only(spark):
+    found = detected(spark, [f"{w} +1 743 555 3824" for w in CONTEXT])
+    assert [round(found[i][0]["score"] - 0.7, 6) for i in range(len(CONTEXT))] == [0.25 * hit for hit in CONTEXT.values()]
+
+
+def context(text, start, end, window=40):
+    """Whole words in the window, in plain Python."""
+    out = []
+    for m in re.finditer(r"[^\W_]+", text):
+        if m.end() <= start and m.start() >= start - window or m.start() >= end and m.end() <= end + window:
+            out.append(m[0].lower())
+    return out
+
+
+def test_scores_of_random_texts_equal_brute_force(spark):
+    rng = random.Random(17)
+    parts = ["ssn", "assn", "order", "serial", "123-45-6789", "321-54-9876", "é" * 9, "x", ",", "ab cd", "😀"]
+    rows = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    for i, spans in detected(spark, rows, threshold=0.0).items():
+        ssn = [s for s in spans if s["kind"] == "ssn"]
+        assert [(s["start"], s["end"]) for s in ssn] == [m.span() for m in re.finditer(r"(?<!\d)\d{3}-\d\d-\d{4}", rows[i])]
+        for s in ssn:
+            near = context(rows[i], s["start"], s["end"])
+            want = 0.3 + 0.25 * ("ssn" in near) - 0.25 * ("order" in near or "serial" in near)
+            assert abs(s["score"] - want) < 1e-9, rows[i]
+
+
 def test_pii_is_native_and_handles_no_rows(spark, empty):
     plan = pii.detect(empty)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and pii.detect(empty).count() == 0
