@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from . import simhash
 from .kernel import _BASE, LOWER, SPACE, Ranges, mix, per_text, runs
-from .shared import chunks, table, texts
+from .shared import SENT_IDS, chunks, table, texts
 
 #: Nodes of a piece of a group.
 LARGE = 256
@@ -152,7 +152,7 @@ def _groups(marked: DataFrame, p: Params, large: int) -> DataFrame:
 
 
 def _sent(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= simhash.SENT_IDS else ids.hint("merge")
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids.hint("merge")
 
 
 def links(marked: DataFrame, p: Params = Params(), large: int = LARGE) -> DataFrame:

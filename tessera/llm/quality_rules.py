@@ -9,17 +9,22 @@ labelled holdout rows, per stratum (by default the language):
   <= delta / (rules * strata), k of n good texts being rejected. Testing in a
   fixed order stops at the first failure, so no further correction for the
   length of the grid is due; Bonferroni's covers rules and strata. With chance
-  1 - delta, all strata reject under ``alpha`` of their good texts.
+  1 - delta, the rules reject under ``alpha`` of the good texts of every stratum that
+  the base rule passes. What the base rule rejects is fixed, and not covered.
 * Among certified cutoffs the one with the best ``bad rejected - penalty * good
   rejected`` is taken (the middle, if several in a row tie); a rule that gains
   nothing is off.
-* A stratum with too few good rows to certify anything uses the pooled cutoffs.
+* In a stratum with too few good rows to certify anything, and in one that no labelled
+  row is of, all rules are off: nothing is known of its good texts, and cutoffs learnt
+  from others could reject all of them.
 
-Only counts per stratum, rule, grid cell and label reach the driver.
+Only counts per stratum, rule, grid cell and label reach the driver, of strata with
+enough good rows to certify a cutoff.
 
 Defined cases: a null text is an empty one; null strata are one stratum; an empty
 label table certifies nothing, so only the base rule rejects; repeated rows count
-each. Labelled rows with a null label are ignored. Columns of the input other
+each. Labelled rows with a null label are ignored. A measure equal to a cutoff is
+rejected. A very long text is measured whole by one task. Columns of the input other
 than id, text and stratum are not read by ``measured``; ``keep`` passes them on.
 """
 
@@ -36,12 +41,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .shared import chunks, table, texts
+from .shared import SENT_IDS, chunks, table, texts
 
-POOLED = "*"
 NONE = "\0null"
 #: Cells of the grid of candidate cutoffs over a measure's range.
 CELLS = 64
+#: Strata whose cutoffs are sent to all tasks at most.
+MOST_STRATA = 100_000
 
 
 @dataclass(frozen=True)
@@ -66,13 +72,13 @@ class Params:
 
 @dataclass(frozen=True)
 class Cutoffs:
-    """Per stratum and rule the grid cell from which texts are rejected."""
+    """Per certified stratum and rule the grid cell from which texts are rejected."""
 
     rules: tuple[Rule, ...]
     cells: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def of(self, stratum: str) -> tuple[int, ...]:
-        return self.cells.get(stratum) or self.cells.get(POOLED) or (CELLS,) * len(self.rules)
+        return self.cells.get(stratum) or (CELLS,) * len(self.rules)
 
 
 def measures(b: dict[str, np.ndarray]) -> np.ndarray:
@@ -149,26 +155,31 @@ def calibrate(rows: DataFrame, labels: DataFrame, p: Params = Params(), id_col:
     # the smallest number of good rows that can certify anything, so small strata stay off the driver
     least = math.ceil(math.log(p.delta / len(rules)) / math.log1p(-p.alpha / len(rules)))
     large = counts.where("label = 1 and rule = 0").groupBy("stratum").agg(F.sum("count").alias("n")).where(F.col("n") >= least).select("stratum")
-    pooled = counts.groupBy(F.lit(POOLED).alias("stratum"), "label", "rule", "cell").agg(F.sum("count").alias("count"))
     table_: dict[str, np.ndarray] = {}
-    for x in counts.join(large, "stratum", "left_semi").unionByName(pooled).collect():
+    for x in counts.join(large, "stratum", "left_semi").collect():
         table_.setdefault(x["stratum"], np.zeros((2, len(rules), CELLS), np.int64))[int(x["label"] == 1), x["rule"], x["cell"]] += x["count"]
     delta = p.delta / (len(rules) * max(len(table_), 1))
     out = {}
     for stratum, (bad, good) in table_.items():
-        if stratum == POOLED or certified(0, int(good[0].sum()), p.alpha / len(rules), delta):
-            out[stratum] = tuple(choose(good[r], bad[r], p.alpha / len(rules), delta, p.penalty) for r in range(len(rules)))
-    return Cutoffs(rules, out)
+        out[stratum] = tuple(choose(good[r], bad[r], p.alpha / len(rules), delta, p.penalty) for r in range(len(rules)))
+    return Cutoffs(rules, {s: c for s, c in out.items() if min(c) < CELLS})
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that have a label, if there are few enough labels to look for
+    them without a shuffle of texts; else all rows. ``calibrate`` uses no others."""
+    ids = table(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_labelled")).distinct(), "labelled")
+    if ids.count() > SENT_IDS:
+        return docs
+    return docs.join(F.broadcast(ids), F.col(id_col) == F.col("_labelled"), "left_semi")
 
 
 def judged(rows: DataFrame, cutoffs: Cutoffs) -> DataFrame:
     """``measured`` rows as doc_id, the five base counts, base_failed and kept."""
-    limits = lambda s: F.array(*(F.lit(c) for c in cutoffs.of(s)))
-    limit = limits(POOLED)
-    if own := [s for s in cutoffs.cells if s != POOLED]:
-        limit = F.coalesce(F.create_map(*(x for s in own for x in (F.lit(s), limits(s))))[F.col("stratum")], limit)
-    over = F.exists(F.zip_with("cells", limit, lambda c, most: c >= most), lambda x: x)
-    return rows.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
+    limits = rows.sparkSession.createDataFrame(sorted((s, list(c)) for s, c in cutoffs.cells.items()), "stratum string, _limits array<int>")
+    with_limits = rows.join(F.broadcast(limits) if len(cutoffs.cells) <= MOST_STRATA else limits, "stratum", "left")
+    over = F.exists(F.zip_with("cells", "_limits", lambda c, most: c >= most), lambda x: x)
+    return with_limits.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & ~F.coalesce(over, F.lit(False))).alias("kept"))
 
 
 def keep(docs: DataFrame, cutoffs: Cutoffs, p: Params = Params(), text_col: str = "text", stratum_col: str = "lang") -> DataFrame:

@@ -37,12 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import chunks, table
+from .shared import SENT_IDS, chunks, table
 
 #: Members of a bucket that one task compares with each other.
 LARGE = 4096
-#: Ids that are sent to all tasks at most; beyond that, texts are joined by a shuffle.
-SENT_IDS = 1_000_000
 #: Runs up to this length are compared by shifts, all runs at once.
 SHORT = 48
 

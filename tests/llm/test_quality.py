@@ -63,6 +63,30 @@ def test_bad_texts_go_and_good_ones_stay(spark):
     assert Q.keep(docs, cutoffs, p).columns == docs.columns
 
 
+def test_a_small_odd_stratum_keeps_its_good_texts(spark):
+    """All good texts of a language with few labels look like the bad ones of another."""
+    at = lambda cell: [cell, 0, 0, 0]
+    given = [("en", at(0), 1, 9000), ("en", at(40), 0, 2000), ("code", at(40), 1, 40), ("xx", at(40), None, 5), (Q.NONE, at(40), 1, 3)]
+    rows = [(stratum, cells, label) for stratum, cells, label, n in given for _ in range(n)]
+    kind = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, cells array<int>"
+    measured = spark.createDataFrame([(i, s, 50, 200, 9, 0, 0, False, c) for i, (s, c, _) in enumerate(rows)], kind)
+    labels = spark.createDataFrame([(i, label) for i, (_, _, label) in enumerate(rows)], LABELS)
+    cutoffs = Q.calibrate(measured, labels)
+    assert set(cutoffs.cells) == {"en"} and cutoffs.of("en")[0] <= 40 and cutoffs.of("code") == (Q.CELLS,) * 4
+    gone = {r["doc_id"] for r in Q.judged(measured, cutoffs).where("not kept").collect()}
+    assert gone == {i for i, (s, c, _) in enumerate(rows) if s == "en" and c[0] == 40}
+
+
+def test_labelled_rows_alone_give_the_same_cutoffs(spark, monkeypatch):
+    rows, labels = corpus()
+    docs, given, p = frame(spark, rows), spark.createDataFrame(labels[:700] + [(5000, 1), (None, 0)], LABELS), Q.Params(alpha=0.2)
+    whole = Q.calibrate(Q.measured(docs, p), given, p)
+    assert Q.labelled(docs, given).count() == 700 and Q.labelled(docs, given).columns == docs.columns
+    assert Q.calibrate(Q.measured(Q.labelled(docs, given), p), given, p) == whole and whole.cells
+    monkeypatch.setattr(Q, "SENT_IDS", 10)
+    assert Q.labelled(docs, given).count() == len(rows)
+
+
 def test_without_labels_only_the_base_rule_rejects(spark, docs, empty):
     none = spark.createDataFrame([], LABELS)
     cutoffs = Q.calibrate(Q.measured(docs), none)
