@@ -8,29 +8,37 @@ lower-cased, as a 128-bit hash. Two tables are kept:
   deleting what was inserted restores the table, whatever happened in between.
 * ``filters``: per shard of the key space, a cuckoo filter of the keys found in at
   least ``min_docs`` documents. Keys that reach the limit are inserted, keys that
-  fall below it are deleted; only changed shards are rewritten.
+  fall below it are deleted.
+
+A change works on the shards that its documents have keys in: their references are
+read (files are in order of shard, so others are skipped), counted and written anew,
+and so are their filters. ``save`` writes an index to a folder and ``load`` reads it
+again, so a later job can delete what an earlier one inserted.
 
 A repeated key loses its lines except in the largest doc_id holding it. The filters
 let most lines pass without a look at the exact counts: lines whose key is in no
 filter stay, and the exact counts settle the rest, false positives among them.
 While filters and repeated keys take at most ``broadcast_bytes``, they are sent to
-all tasks and texts are rewritten in one pass without a shuffle. Beyond that, only
-the filters are sent if they alone are that small, references in them are joined
-with the exact counts, and texts with their lost keys. Results are the same.
+all tasks and texts are rewritten in one pass without a shuffle. Beyond that,
+references meet the filters (all of them sent if they are that small, else each shard's
+in the tasks that have its references), what is in one meets the exact counts by a
+join, and texts meet their lost keys by another. Results are the same.
 
-Hot keys: counts are pre-aggregated, and the join on keys is one that Spark splits.
+Hot keys: counts are pre-aggregated, a shard's references are dealt to ``PIECES`` tasks
+by document, and the join on keys is one that Spark splits.
 
 Defined cases: a null or empty text is one empty line; keys under ``min_chars`` code
 points never count; a document that holds a key often counts once; rows of one id
 are one document, and rows of a null id too, which is never the largest beside
-others; deleting what was not inserted has no effect; an empty table gives no rows.
+others; deleting what was not inserted has no effect; a very long text is split whole
+by one task; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +49,8 @@ from pyspark.sql import types as T
 
 from .shared import chunks, table
 
+#: Tasks that the references of a shard are dealt to.
+PIECES = 16
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 SLOTS = 4
 
@@ -196,28 +206,60 @@ def shard_of(shards: int) -> Column:
 
 @dataclass(frozen=True)
 class LineIndex:
-    """The two tables; ``insert`` and ``delete`` return the index after the change."""
+    """The tables; ``insert`` and ``delete`` return the index after the change.
+
+    refs: shard, k1, k2, doc_id, n. repeated: shard, k1, k2, holder. filters: shard, data."""
 
     refs: DataFrame
     repeated: DataFrame
     filters: DataFrame
     params: Params
+    blank: bool = False
 
     @staticmethod
     def empty(spark: SparkSession, id_type: T.DataType, p: Params = Params()) -> LineIndex:
-        key = T.StructType().add("k1", "long").add("k2", "long")
+        key = T.StructType().add("shard", "integer").add("k1", "long").add("k2", "long")
         refs = T.StructType([*key.fields, T.StructField("doc_id", id_type), T.StructField("n", T.LongType())])
         repeated = T.StructType([*key.fields, T.StructField("holder", id_type)])
-        return LineIndex(spark.createDataFrame([], refs), spark.createDataFrame([], repeated), spark.createDataFrame([], "shard int, data binary"), p)
+        return LineIndex(spark.createDataFrame([], refs), spark.createDataFrame([], repeated), spark.createDataFrame([], "shard int, data binary"), p, True)
+
+    @staticmethod
+    def over(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
+        """An index of ``docs``, with more shards for inputs of many partitions."""
+        p = replace(p, shards=max(p.shards, docs.rdd.getNumPartitions() // 64))
+        return LineIndex.empty(docs.sparkSession, docs.schema[id_col].dataType, p).insert(docs, id_col, text_col)
+
+    def save(self, folder: str) -> None:
+        """Write the index to a folder that does not exist yet."""
+        self.refs.sortWithinPartitions("shard", "k1", "k2").write.parquet(f"{folder}/refs")
+        self.repeated.write.parquet(f"{folder}/repeated")
+        self.filters.write.parquet(f"{folder}/filters")
+        self.refs.sparkSession.createDataFrame([tuple(asdict(self.params).values())], ", ".join(f"{k} long" for k in asdict(self.params))).coalesce(1).write.parquet(f"{folder}/params")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> LineIndex:
+        p = spark.read.parquet(f"{folder}/params").first()
+        return LineIndex(*(spark.read.parquet(f"{folder}/{t}") for t in ("refs", "repeated", "filters")), Params(**p.asDict()))
 
     def _changed(self, docs: DataFrame, sign: int, id_col: str, text_col: str) -> LineIndex:
         p = self.params
-        delta = keyed(docs, p, id_col, text_col).select("k1", "k2", "doc_id", F.lit(sign).cast("long").alias("n"))
-        refs = self.refs.unionByName(delta).groupBy("k1", "k2", "doc_id").agg(F.sum("n").alias("n")).where("n > 0")
-        refs = table(refs, "refs")
-        counts = refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("holder"))
-        repeated = table(counts.where(F.col("docs") >= p.min_docs).select("k1", "k2", "holder"), "repeated")
-        return replace(self, refs=refs, repeated=repeated, filters=self._filtered(repeated))
+        delta = keyed(docs, p, id_col, text_col).select(shard_of(p.shards).alias("shard"), "k1", "k2", "doc_id", F.lit(sign).cast("long").alias("n"))
+        old, filters = (self.refs, self.repeated), self.filters
+        rest = None
+        if not self.blank:
+            delta = table(delta, "delta")
+            touched = [r["shard"] for r in delta.select("shard").distinct().collect()]  # at most ``shards``
+            mine = F.col("shard").isin(touched)
+            old, rest = [t.where(mine) for t in old], [t.where(~mine) for t in (self.refs, self.repeated, filters)]
+            filters = filters.where(mine)
+        refs = old[0].unionByName(delta).groupBy("shard", "k1", "k2", "doc_id").agg(F.sum("n").alias("n")).where("n > 0")
+        refs = table(refs.sortWithinPartitions("shard", "k1", "k2"), "refs")
+        counts = refs.groupBy("shard", "k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("holder"))
+        repeated = table(counts.where(F.col("docs") >= p.min_docs).select("shard", "k1", "k2", "holder"), "repeated")
+        filters = table(self._filtered(old[1], repeated, filters), "filters")
+        if rest:
+            refs, repeated, filters = (a.unionByName(b) for a, b in zip(rest, (refs, repeated, filters), strict=True))
+        return LineIndex(refs, repeated, filters, p)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         return self._changed(docs, 1, id_col, text_col)
@@ -225,11 +267,11 @@ class LineIndex:
     def delete(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         return self._changed(docs, -1, id_col, text_col)
 
-    def _filtered(self, repeated: DataFrame) -> DataFrame:
+    @staticmethod
+    def _filtered(before: DataFrame, after: DataFrame, filters: DataFrame) -> DataFrame:
         """The filters after keys came into or left the repeated ones."""
-        before = self.repeated.select("k1", "k2", F.lit(-1).alias("d"))
-        change = repeated.select("k1", "k2", F.lit(1).alias("d")).unionByName(before).groupBy("k1", "k2").agg(F.sum("d").alias("d")).where("d <> 0")
-        change = change.select(shard_of(self.params.shards).alias("shard"), "k2", "d")
+        signed = lambda t, d: t.select("shard", "k1", "k2", F.lit(d).alias("d"))
+        change = signed(after, 1).unionByName(signed(before, -1)).groupBy("shard", "k1", "k2").agg(F.sum("d").alias("d")).where("d <> 0").select("shard", "k2", "d")
 
         def run(old: pa.Table, new: pa.Table) -> pa.Table:
             if not new.num_rows:
@@ -240,7 +282,7 @@ class LineIndex:
             f.add(keys[d > 0])
             return pa.table({"shard": pa.array([new["shard"][0].as_py()], pa.int32()), "data": pa.array([f.to_bytes()], pa.binary())})
 
-        return table(self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(run, "shard int, data binary"), "filters")
+        return filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(run, "shard int, data binary")
 
     def _filter_bytes(self) -> int:
         return self.filters.agg(F.sum(F.octet_length("data"))).first()[0] or 0
@@ -249,34 +291,55 @@ class LineIndex:
         return self.filters.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in self.filters.collect()})
 
     def suspects(self, refs: DataFrame) -> DataFrame:
-        """The references (k1, k2, ...) whose key is in a filter, where filters may be broadcast."""
+        """The references (k1, k2, doc_id) whose key is in the filter of its shard."""
         p = self.params
-        if self._filter_bytes() > p.broadcast_bytes:
-            return refs
-        sent = self._sent()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probe = Probe(sent.value, p.shards)
+        if self._filter_bytes() <= p.broadcast_bytes:
+            sent = self._sent()
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                probe = Probe(sent.value, p.shards)
+                for batch in batches:
+                    yield batch.filter(pa.array(probe(batch.column(0).to_numpy(), batch.column(1).to_numpy())))
+
+            return refs.select("k1", "k2", "doc_id").mapInArrow(run, refs.select("k1", "k2", "doc_id").schema)
+        # each shard's filter goes before its references, to every task that has some
+        piece = F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).cast("int")
+        own = refs.select("k1", "k2", "doc_id", shard_of(p.shards).alias("shard"), piece.alias("piece"), F.lit(None).cast("binary").alias("data"))
+        kind = {f.name: f.dataType for f in own.schema.fields}
+        none = lambda c: F.lit(None).cast(kind[c]).alias(c)
+        first = self.filters.select(none("k1"), none("k2"), none("doc_id"), "shard", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("piece"), "data")
+        dealt = own.unionByName(first).repartition("shard", "piece").sortWithinPartitions("shard", "piece", F.col("data").isNull())
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, f = None, None
             for batch in batches:
-                yield batch.filter(pa.array(probe(batch.column(0).to_numpy(), batch.column(1).to_numpy())))
-
-        return refs.mapInArrow(run, refs.schema)
+                shard, k2 = batch.column(3).to_numpy(), batch.column(1).fill_null(0).to_numpy().view(np.uint64)
+                heads, hit = batch.column(5).is_valid().to_numpy(zero_copy_only=False), np.zeros(len(shard), bool)
+                cut = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | heads[1:]])).tolist() if len(shard) else []
+                for x, y in zip(cut, [*cut[1:], len(shard)], strict=True):
+                    if heads[x]:
+                        at, f = shard[x], CuckooFilter(data=batch.column(5)[x].as_py())
+                        x += 1
+                    if at == shard[y - 1]:  # else nothing of the shard is repeated
+                        hit[x:y] = f.contains(k2[x:y])
+                yield pa.RecordBatch.from_arrays(batch.columns[:3], ["k1", "k2", "doc_id"]).filter(pa.array(hit))
+
+        return dealt.mapInArrow(join, own.select("k1", "k2", "doc_id").schema)
 
     def drops(self) -> DataFrame:
         """doc_id, keys: the keys whose lines a document loses."""
-        refs = self.suspects(self.refs.select("k1", "k2", "doc_id"))
-        lost = refs.join(self.repeated, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
+        lost = self.suspects(self.refs).join(self.repeated, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-        """doc_id, text (what stays), n_lines and n_dropped for each row of ``docs``,
-        which the index holds, with the columns ``also`` as they are."""
+    def _applied(self, docs: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
+        """_row, _kept (what stays of the text), _n and _gone (lines), for each row."""
         p = self.params
-        rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), *also).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-        small = self._filter_bytes() + 24 * self.repeated.count() <= p.broadcast_bytes
+        rows = docs.select(row.alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+        held = self.repeated.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col("holder").cast("string"))), F.lit(0)).alias("bytes")).first()
+        small = self._filter_bytes() + 24 * held["n"] + held["bytes"] <= p.broadcast_bytes
         if small:
             filters = self._sent()
-            exact = self.filters.sparkSession.sparkContext.broadcast(Exact([tuple(r) for r in self.repeated.collect()]))
+            exact = self.filters.sparkSession.sparkContext.broadcast(Exact([tuple(r) for r in self.repeated.select("k1", "k2", "holder").collect()]))
         else:
             lost = self.drops().select(F.col("doc_id").alias("_lost_by"), F.col("keys").alias("_keys"))
             rows = rows.join(lost.hint("merge"), F.col("_id").eqNullSafe(F.col("_lost_by")), "left").select("_row", "_keys", "_text")
@@ -303,5 +366,15 @@ class LineIndex:
                 counts = [pa.array([len(x) for x in some], pa.int64()) for some in (split, gone)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).view(pa.string()), *counts], ["_row", "_kept", "_n", "_gone"])
 
-        out = rows.mapInArrow(run, T.StructType([rows.schema["_row"]]).add("_kept", "string").add("_n", "long").add("_gone", "long"))
-        return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_kept").alias("text"), F.col("_n").alias("n_lines"), F.col("_gone").alias("n_dropped"), *(F.col(f"_row.{c}").alias(c) for c in also))
+        return rows.mapInArrow(run, T.StructType([rows.schema["_row"]]).add("_kept", "string").add("_n", "long").add("_gone", "long"))
+
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id, text (what stays), n_lines and n_dropped for each row of ``docs``, which
+        the index holds."""
+        out = self._applied(docs, F.struct(F.col(id_col).alias("doc_id")), id_col, text_col)
+        return out.select("_row.doc_id", F.col("_kept").alias("text"), F.col("_n").alias("n_lines"), F.col("_gone").alias("n_dropped"))
+
+    def rewritten(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The rows of ``docs`` with what stays of their texts, other columns as they are."""
+        out = self._applied(docs, F.struct(*(F.col(c) for c in docs.columns if c != text_col)), id_col, text_col)
+        return out.select(*(F.col("_kept").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns))

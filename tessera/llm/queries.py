@@ -13,8 +13,7 @@ from .shared import crc_mod, read
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    index = line_dedup.LineIndex.empty(spark, docs.schema["doc_id"].dataType).insert(docs)
-    return index.apply(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return line_dedup.LineIndex.over(docs).apply(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,44 @@ def test_empty_null_ids_and_clashing_columns(spark, empty):
     assert [r["n_dropped"] for r in found if r["doc_id"] is None] == [1, 1]
 
 
+def test_a_change_writes_only_the_shards_it_touches(spark, docs, monkeypatch):
+    written = {}
+    plain = D.table
+    monkeypatch.setattr(D, "table", lambda df, name: written.setdefault(name, plain(df, name)))
+    x = index(spark, docs)
+    written.clear()
+    line = "A line of one shard that four documents and one more have in common."
+    after = x.insert(frame(spark, [(1000 + i, line, "en", "s", 0, 0) for i in range(5)]))
+    (shard,) = {r["shard"] for r in written["delta"].collect()}
+    for name in ("refs", "repeated", "filters"):
+        assert {r["shard"] for r in written[name].collect()} == {shard}
+    assert after.refs.count() == x.refs.count() + 5 and after.repeated.count() == x.repeated.count() + 1
+    assert {r["shard"] for r in after.refs.collect()} >= {r["shard"] for r in x.refs.collect()}
+
+
+def test_a_later_job_deletes_what_was_saved(spark, docs, tmp_path):
+    more = frame(spark, [(1000 + i, SHARED, "en", "s", 0, 0) for i in range(6)])
+    index(spark, docs).insert(more).save(f"file://{tmp_path}/index")
+    again = D.LineIndex.load(spark, f"file://{tmp_path}/index")
+    assert again.params == D.Params(shards=4)
+    restored = again.delete(more)
+    assert rows_of(restored.apply(docs)) == brute(documents())
+    assert again.delete(docs).delete(more).refs.count() == 0
+
+
+def test_filters_by_shard_and_whole_find_the_same(spark, docs):
+    few, many = index(spark, docs, broadcast_bytes=0), index(spark, docs)
+    found = lambda x: sorted(map(tuple, x.suspects(x.refs).collect()))
+    assert found(few) == found(many) and 0 < len(found(few)) < few.refs.count()
+
+
+def test_rewritten_rows_keep_their_columns(spark):
+    docs = frame(spark, [(i, f"{SHARED}\n{i}", None, "s", i, 5) for i in range(6)]).withColumnRenamed("n_chars", "n_lines").withColumnRenamed("lang", "n_dropped").withColumnRenamed("source", "_row")
+    found = index(spark, docs).rewritten(docs)
+    assert found.columns == docs.columns
+    assert sorted(tuple(r) for r in found.collect()) == sorted((i, f"{SHARED}\n5" if i == 5 else str(i), None, "s", i, 5) for i in range(6))
+
+
 def test_string_ids(spark):
     docs = spark.createDataFrame([(c, SHARED) for c in "abcdef"], "doc_id string, text string")
     x = D.LineIndex.empty(spark, T.StringType()).insert(docs)
