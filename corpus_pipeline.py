@@ -2,7 +2,8 @@
 
 Quality rules, line dedup, SimHash near-dedup, benchmark decontamination, best-fit
 packing. Stages are joined by Parquet: ``run`` writes each stage's rows to the folder
-that ``spark.checkpoint.dir`` names and reads them as the next one's documents.
+that ``spark.checkpoint.dir`` names, reads them as the next one's documents, and
+deletes the tables before them.
 """
 
 from __future__ import annotations
@@ -13,21 +14,19 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, line_dedup, packing, quality_rules
 from tessera.llm import near_copies as copies
 from tessera.llm.queries import tokenizer_path
-from tessera.llm.shared import read, table
+from tessera.llm.shared import mark, read, release, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that neither the base rule nor a certified cutoff rejects."""
-    cutoffs = quality_rules.calibrate(quality_rules.measured(docs), read(spark, sf_dir, "labels"))
+    labels = read(spark, sf_dir, "labels")
+    cutoffs = quality_rules.calibrate(quality_rules.measured(quality_rules.labelled(docs, labels)), labels)
     return quality_rules.keep(docs, cutoffs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many share; n_chars is that of what stays."""
-    index = line_dedup.LineIndex.empty(spark, docs.schema["doc_id"].dataType).insert(docs)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = index.apply(docs, also=others).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    return line_dedup.LineIndex.over(docs).rewritten(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, since = read(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(since, mark() - 1)  # what the stage read and wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
