@@ -11,16 +11,20 @@ item position) at most k apart. So:
 3. bands that meet the bound are verified by alignment of the whole item within the
    band, free at both ends of the text; regions of at most k edits are leaks.
 
-k is ``edit_share`` of the item's length, less for short items where the bound would
-fall under 1. Items over ``window`` characters are searched in overlapping windows,
-so a part of a long item is a leak too. Items under q characters are no evidence.
+k is ``edit_share`` of the item's length, rounded down. q is the first of ``q`` for which
+the bound is ``least`` or more, or 1 for an item for which none is. Items over ``window``
+characters are searched in overlapping windows, so a part of a long item is a leak too.
+A short item is easily part of some word: one under ``alone`` characters is a leak only
+where no letter or digit is next to it.
 
-The benchmark is the query set: it is read in blocks of at most ``block_chars``
+The benchmark is the query set: it is read in blocks of about ``block_chars``
 characters, each sent to all tasks and searched for in all rows. No row is shuffled.
 
-Defined cases: null texts and items are empty and never match; repeated rows and
-items are reported each; an empty benchmark or table gives no leaks; columns of
-other names are not read, or kept as they are by ``clean``.
+Defined cases: null texts and items, and those of white space only, never match;
+repeated rows are reported each, items of equal text under the least of their ids; of
+overlapping regions of one item the one of fewest edits is reported, of these the
+first; a very long text is searched whole by one task; an empty benchmark or table
+gives no leaks; columns of other names are not read, or kept as they are by ``clean``.
 """
 
 from __future__ import annotations
@@ -44,9 +48,11 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Params:
-    q: int = 12
+    q: tuple[int, ...] = (12, 8, 4, 2)
+    least: int = 4
     edit_share: float = 0.05
     window: int = 600
+    alone: int = 12
     block_chars: int = 2_000_000
 
 
@@ -89,40 +95,69 @@ class Pattern:
     item: object
     chars: np.ndarray
     edits: int
-    bound: int
+    q: int
+    alone: bool
+
+    @property
+    def bound(self) -> int:
+        """The q-grams that a passage within ``edits`` shares at least."""
+        return len(self.chars) - self.q + 1 - self.q * self.edits
+
+
+def patterns(items: list[tuple[object, str | None]], p: Params) -> list[Pattern]:
+    out = []
+    for item, text in items:
+        chars = normal([(text or "").strip()])[0]
+        for at in range(0, max(len(chars) - p.window // 2, 1), p.window // 2) if len(chars) > p.window else (0,):
+            own = chars[at : at + p.window]
+            n, edits = len(own), int(p.edit_share * len(own))
+            q = next((q for q in p.q if n - q + 1 - q * edits >= p.least), 1)
+            if n:
+                out.append(Pattern(item, own, edits, q, len(chars) < p.alone))
+    return out
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """A block of items, searched for by their q-grams, those of one q after the other."""
 
     def __init__(self, items: list[tuple[object, str | None]], p: Params) -> None:
-        self.p, self.patterns = p, []
-        for item, text in items:
-            chars = normal([(text or "").strip()])[0]
-            for at in range(0, max(len(chars) - p.window // 2, 1), p.window // 2) if len(chars) > p.window else (0,):
-                own = chars[at : at + p.window]
-                if len(own) >= p.q:
-                    edits = max(0, min(int(p.edit_share * len(own)), (len(own) - p.q) // p.q))
-                    self.patterns.append(Pattern(item, own, edits, len(own) - p.q + 1 - p.q * edits))
-        codes = [grams(x.chars, p.q) for x in self.patterns]
-        code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+        of: dict[int, list[Pattern]] = {}
+        for x in patterns(items, p):
+            of.setdefault(x.q, []).append(x)
+        self.parts = [Grams(q, of[q]) for q in sorted(of, reverse=True)]
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, object, int, int, int]]:
+        """(text number, item, start, end, edits), offsets in characters of the text."""
+        if not self.parts:
+            return []
+        given = normal(texts)
+        return [hit for part in self.parts for hit in part.search(*given)]
+
+
+def _letter(char: int) -> bool:
+    return chr(char).isalnum()
+
+
+class Grams:
+    """The patterns of one q and the places of their q-grams."""
+
+    def __init__(self, q: int, patterns: list[Pattern]) -> None:
+        self.q, self.patterns = q, patterns
+        codes = [grams(x.chars, q) for x in patterns]
+        code = np.concatenate(codes)
         order = np.argsort(code, kind="stable")
         self.code, self.first = np.unique(code[order], return_index=True)
         self.last = np.append(self.first[1:], len(code))
         self.pattern = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
-        self.at = np.concatenate([np.arange(len(c)) for c in codes])[order] if codes else np.zeros(0, np.int64)
+        self.at = np.concatenate([np.arange(len(c)) for c in codes])[order]
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self.code >> np.uint64(64 - _TABLE_BITS)] = True
-        self.edits, self.bound, self.size = (np.array([f(x) for x in self.patterns], np.int64) for f in (lambda x: x.edits, lambda x: x.bound, lambda x: len(x.chars)))
+        self.edits, self.bound, self.size = (np.array([f(x) for x in patterns], np.int64) for f in (lambda x: x.edits, lambda x: x.bound, lambda x: len(x.chars)))
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, object, int, int, int]]:
-        """(text number, item, start, end, edits), offsets in characters of the text."""
-        if not self.patterns:
-            return []
-        chars, owner, place = normal(texts)
-        code = grams(chars, self.p.q)
+    def search(self, chars: np.ndarray, owner: np.ndarray, place: np.ndarray) -> list[tuple[int, object, int, int, int]]:
+        code = grams(chars, self.q)
         hit = np.flatnonzero(self.table[code >> np.uint64(64 - _TABLE_BITS)])
-        hit = hit[owner[hit] == owner[hit + self.p.q - 1]] if len(hit) else hit
+        hit = hit[owner[hit] == owner[hit + self.q - 1]] if len(hit) else hit
         row = np.searchsorted(self.code, code[hit])
         found = self.code[np.minimum(row, len(self.code) - 1)] == code[hit]
         hit, row = hit[found], row[found]
@@ -194,15 +229,20 @@ class Index:
         end = int(np.argmin(now))
         edits, start = int(now[end] >> 32), int(now[end] & (one - 1))
         start, end = max(first + start, a), min(first + end + n, z)
-        return (edits, start, end) if edits <= k and start < end else None
+        if edits > k or start >= end:
+            return None
+        if x.alone and (start > a and _letter(chars[start - 1]) or end < z and _letter(chars[end])):
+            return None
+        return edits, start, end
 
 
 def blocks(benchmark: DataFrame, p: Params, item_col: str, text_col: str) -> Iterator[Index]:
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
+    """The items, each text once, in blocks dealt by their texts."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = -(-total // p.block_chars)
     for b in range(n):
-        yield Index([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()], p)
+        yield Index([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()], p)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -66,13 +66,44 @@ def test_copies_long_items_blocks_and_short_items(spark):
     long = words(400, random.Random(77))
     part = " ".join(long.split()[100:330])
     items = [*ITEMS, (50, long), (51, "short"), (52, ""), (53, None), (54, "exactly twelve")]
-    rows = [(1, ITEMS[3][1] + " and " + ITEMS[3][1], "en", "s", 0, 0), (2, part, "en", "s", 0, 0), (3, "short", "en", "s", 0, 0), (4, "now EXACTLY  twelve times", "en", "s", 0, 0)]
+    rows = [(1, ITEMS[3][1] + " and " + ITEMS[3][1], "en", "s", 0, 0), (2, part, "en", "s", 0, 0), (3, "(Short)", "en", "s", 0, 0), (4, "now EXACTLY  twelve times", "en", "s", 0, 0), (5, "shorter", "en", "s", 0, 0)]
     for block in (10**7, 500):
         out = D.leaks(frame(spark, rows), table(spark, items), D.Params(block_chars=block)).collect()
         assert [r["item_id"] for r in out if r["doc_id"] == 1] == [3, 3]
-        assert {r["item_id"] for r in out if r["doc_id"] == 2} == {50} and not [r for r in out if r["doc_id"] == 3]
+        assert {r["item_id"] for r in out if r["doc_id"] == 2} == {50} and not [r for r in out if r["doc_id"] == 5]
+        assert [(r["item_id"], r["start"], r["end"]) for r in out if r["doc_id"] == 3] == [(51, 1, 6)]
         assert [r["item_id"] for r in out if r["doc_id"] == 4] == [54]
-        assert sorted(r["doc_id"] for r in D.clean(frame(spark, rows), table(spark, items), D.Params(block_chars=block)).collect()) == [3]
+        assert sorted(r["doc_id"] for r in D.clean(frame(spark, rows), table(spark, items), D.Params(block_chars=block)).collect()) == [5]
+
+
+def test_items_of_every_short_length_equal_the_best_alignment():
+    """Short items with no edit, one edit and two, beside others, against all alignments."""
+    rng = random.Random(21)
+    items = [(n, words(30, random.Random(n))[:n].strip() + "q" * (n - len(words(30, random.Random(n))[:n].strip()))) for n in range(1, 46)]
+    assert [len(t) for _, t in items] == list(range(1, 46))
+    texts = [words(6, rng) + rng.choice((" ", "x", ", ")) + edited(t, e, rng) + rng.choice((" ", "", "é", ".")) + words(6, rng) for _, t in items for e in (0, 0, 1, 2) if n_edits(t, e)]
+    index = D.Index(items, D.Params())
+    got = {(t, item) for t, item, *_ in index.search(texts)}
+    for i, text in enumerate(" ".join(t.split()) for t in texts):
+        for n, item in items:
+            allowed = int(0.05 * n)
+            if n >= 12:
+                expected = distance(item, text) <= allowed
+            else:
+                expected = any(text.startswith(item, at) and not (at and text[at - 1].isalnum()) and not text[at + n : at + n + 1].isalnum() for at in range(len(text)))
+            assert ((i, n) in got) == expected, (item, text)
+
+
+def n_edits(text, edits):
+    return edits == 0 or len(text) > 1
+
+
+def test_equal_items_are_searched_once(spark):
+    rows = [(1, ITEMS[3][1], "en", "s", 0, 0)]
+    same = [(i, ITEMS[3][1]) for i in (9, 7, 8)] + [(None, ITEMS[3][1]), (None, ITEMS[4][1])]
+    for block in (10**7, 200):
+        out = D.leaks(frame(spark, rows), table(spark, same), D.Params(block_chars=block)).collect()
+        assert [r["item_id"] for r in out] == [7]
 
 
 def test_hits_counted_in_parts(monkeypatch):
