@@ -47,12 +47,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ranges:
-    """Hashes of any byte ranges of one buffer."""
+    """Hashes of any ranges of one buffer, of bytes unless other values are given."""
 
-    def __init__(self, buf: np.ndarray) -> None:
+    def __init__(self, buf: np.ndarray, values: np.ndarray = _BYTE) -> None:
         up, self.down = _powers(len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * up[: len(buf)], out=self.sums[1:])
+        np.cumsum(values[buf] * up[: len(buf)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.down[start]

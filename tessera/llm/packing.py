@@ -14,14 +14,18 @@ its place from its rank among pieces of its length, which comes from counts per
 input partition; no group is gathered.
 
 Tokens: texts are cut where no token of the tokenizer crosses, and a worker encodes
-each frequent word once.
+each frequent word once. This is done for tokenizers whose normalizer and
+pre-tokenizer are the known ones; with any other, texts are encoded whole.
 
 Defined cases: a null text is empty (one piece, the end id alone); repeated rows are
-packed each; an empty table gives no rows; other columns are not read.
+packed each; bins that score the same are taken in order of opening; a very long text
+is encoded in parts that end with a word; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -30,7 +34,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,57 +44,105 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .kernel import Ranges
 from .shared import chunks, table
 
-#: Words that a worker keeps the ids of, about: the first ones, which hold the frequent ones.
-CACHE = 300_000
+#: Bytes that the words a worker keeps the ids of take at most, about: the first ones, which hold the frequent ones.
+CACHE_BYTES = 48 << 20
+#: What a kept word takes besides its ids, and its characters where they are kept, about.
+PLAIN_BYTES, ODD_BYTES = 32, 150
+#: Characters of a text that are encoded at once, up to the next end of a word.
+PART_CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Params:
-    """Capacities of a sequence. The defaults for documents and attention never bind
-    beyond the tokens (each piece has a token, and a sum of squares is at most the
-    square of the sum), so as few sequences are used as tokens allow."""
+    """Capacities of a sequence. Attention never binds beyond the tokens (a sum of
+    squares is at most the square of the sum); more pieces than ``documents`` have
+    place in a sequence of very short ones only, so hardly more sequences are used
+    than tokens ask for."""
 
     tokens: int = 2048
-    documents: int = 2048
+    documents: int = 128
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     score: str = "norm"
     end_id: int = 0
 
 
-def _pattern() -> re.Pattern:
-    """The tokenizer's own cuts, for texts of characters below U+0250."""
-    letters, numbers = ("".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] == k) for k in "LN")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r\x20\x85\xa0{letters}{numbers}]+")
-
+# Fixed values, of the tokenizer file's own format: what is known to part texts where we do.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 PLAIN = 0x250
 #: What is not plain: İ is two characters in lower case; later ones may compose or depend on their neighbours.
 _ODD = re.compile(f"[İ{chr(PLAIN)}-{chr(0x10FFFF)}]")
-
-
-class _Kept(dict):
-    """Word to ids; words beyond the limit are those of the batch in hand."""
-
-    def __init__(self) -> None:
-        super().__init__({"": b""})
-        self.batch: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.batch[word]
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Lower case of plain characters, and the class of each character that comes out."""
+    low = np.array([ord(chr(c).lower()) if c != ord("İ") else c for c in range(PLAIN)], np.uint32)
+    kind = np.full(int(low.max()) + 1, _OTHER, np.uint8)
+    for c in {*low.tolist(), *range(PLAIN)}:
+        kind[c] = {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER)
+    kind[[*range(9, 14), 0x20, 0x85, 0xA0]] = _SPACE
+    return low, kind
+
+
+_LOW, _KIND = _tables()
+_CHAR = np.random.default_rng(49).integers(1, 2**63, len(_KIND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def cut(text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the tokenizer's words in plain lower-case characters, of texts
+    that start at ``first``."""
+    kind = _KIND[text]
+    begin = np.ones(len(text), bool)
+    begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    begin[first[first < len(text)]] = True
+    # 's and the like: a quote alone before a letter takes the letters of the ending
+    quote = np.flatnonzero((text == 0x27) & begin)
+    quote = quote[quote + 1 < len(text)]
+    quote = quote[begin[quote + 1] & (kind[quote + 1] == _LETTER) & ~np.isin(quote + 1, first)]
+    for ending in _ENDINGS:
+        last = quote + len(ending)
+        hit = last < len(text)
+        for i, c in enumerate(ending):
+            at = np.minimum(quote + 1 + i, len(text) - 1)
+            hit &= (text[at] == ord(c)) & (~begin[at] if i else True)
+        begin[quote[hit] + 1] = False
+        after = last[hit] + 1
+        after = after[after < len(text)]
+        begin[after] = True
+        quote = quote[~hit]
+    start = np.flatnonzero(begin)
+    end = np.append(start[1:], len(text))
+    word = kind[start] != _SPACE
+    return start[word], end[word]
 
 
 class Encoder:
     """Text to little-endian unsigned 32-bit ids, by way of a word cache.
 
     Plain texts are lower-cased and cut into the tokenizer's words; in others the words
-    are what spaces and line breaks part. No token crosses either cut."""
+    are what spaces and line breaks part. No token crosses either cut. Plain words are
+    known by a 64-bit hash, so two count as one with a chance of words squared / 2**65."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.path, self.kept, self.cut = path, _Kept(), _pattern().findall
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        before = given.get("pre_tokenizer") or {}
+        self.known = given.get("normalizer") == _NORMALIZER and before.get("type") == "Sequence" and before.get("pretokenizers") == [_SPLIT, _BYTES]
+        self.odd: dict[str, bytes] = {"": b""}
+        self.odd_bytes = 0
+        # of plain words: hashes in order, and the number of each; ids end to end, and where those of each number start
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.starts = array("I"), array("q", [0])
 
     @cached_property
     def whole(self):
@@ -111,21 +163,86 @@ class Encoder:
         out.normalizer, out.pre_tokenizer, out.encode_special_tokens = None, ByteLevel(add_prefix_space=False, use_regex=False), True
         return out
 
+    @staticmethod
+    def _encoded(tokenizer, words: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(words), 4096):
+            for e in tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
+                yield e.ids
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        size = np.array([len(t) for t in texts], np.int64)
+        first = np.cumsum(size) - size
+        text = _LOW[np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")]
+        start, end = cut(text, first)
+        word = Ranges(text, _CHAR)(start, end)
+        distinct, at, each = np.unique(word, return_index=True, return_inverse=True)
+        n_words, n_ids = len(self.starts) - 1, len(self.ids)
+        row = np.searchsorted(self.hashes, distinct)
+        found = np.full(len(distinct), -1)
+        inside = np.flatnonzero(row < len(self.hashes))
+        inside = inside[self.hashes[row[inside]] == distinct[inside]]
+        found[inside] = self.numbers[row[inside]]
+        new = np.flatnonzero(found < 0)
+        # the new words, each with a line break after it
+        a, long = start[at[new]], end[at[new]] - start[at[new]] + 1
+        done = np.cumsum(long)
+        chars = np.repeat(a - (done - long), long) + np.arange(done[-1] if len(done) else 0)
+        chars = text[np.minimum(chars, len(text) - 1)]
+        chars[done - 1] = 0x0A
+        for ids in self._encoded(self.bare, chars.tobytes().decode("utf-32-le").split("\n")[:-1]):
+            self.ids.extend(ids)
+            self.starts.append(len(self.ids))
+        found[new] = n_words + np.arange(len(new))
+        number = found[each]
+        ids, starts = np.array(self.ids, "<u4"), np.array(self.starts)
+        if n_words * PLAIN_BYTES + n_ids * 4 <= CACHE_BYTES:
+            self.hashes, self.numbers = np.insert(self.hashes, row[new], distinct[new]), np.insert(self.numbers, row[new], found[new])
+        else:  # full before these
+            del self.ids[n_ids:], self.starts[n_words + 1 :]
+        count = starts[number + 1] - starts[number]
+        done = np.cumsum(count)
+        out = ids[np.repeat(starts[number] - (done - count), count) + np.arange(done[-1] if len(done) else 0)]
+        ends = np.append(0, done)[np.searchsorted(start, first + size)]
+        return [out[a:b].tobytes() for a, b in zip(np.append(0, ends), ends, strict=False)]
+
+    def _others(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list(set().union(*split) - self.odd.keys())
+        found = dict(zip(new, (array("I", x).tobytes() for x in self._encoded(self.whole, new)), strict=True))
+        if self.odd_bytes <= CACHE_BYTES:
+            self.odd |= found
+            self.odd_bytes += sum(ODD_BYTES + 4 * len(w) + len(x) for w, x in found.items())
+        return [b"".join(found[w] if w in found else self.odd[w] for w in words) for words in split]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(_ODD.search(t)) for t in texts]
-        split = [t.replace("\n", " ").split(" ") if o else self.cut(t.lower()) for t, o in zip(texts, odd, strict=True)]
-        kept = self.kept
-        kept.batch.clear()
-        into = kept if len(kept) < CACHE else kept.batch
-        for which in (False, True):
-            new = list(set().union(*(w for w, o in zip(split, odd, strict=True) if o == which)) - kept.keys())
-            tokenizer = (self.whole if which else self.bare) if new else None
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    into[w] = array("I", e.ids).tobytes()
-        of = kept.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        if not self.known:
+            return [array("I", x).tobytes() for x in self._encoded(self.whole, texts)]
+        parts: list[list[tuple[int, str]]] = [[], []]  # plain ones and others
+        for i, t in enumerate(texts):
+            at = 0
+            while at < len(t):
+                to = t.find(" ", at + PART_CHARS) if len(t) - at > PART_CHARS else -1
+                part = t[at : to if to >= 0 else len(t)]
+                parts[bool(_ODD.search(t))].append((i, part))
+                at += len(part)
+        out: list[list[bytes]] = [[] for _ in texts]
+        for some, encode in zip(parts, (self._plain, self._others), strict=True):
+            at = 0
+            while at < len(some):
+                to, room = at, PART_CHARS
+                while to < len(some) and (to == at or len(some[to][1]) <= room):
+                    room -= len(some[to][1])
+                    to += 1
+                for (i, _), ids in zip(some[at:to], encode([t for _, t in some[at:to]]), strict=True):
+                    out[i].append(ids)
+                at = to
+        return [b"".join(x) for x in out]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +253,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, p: Params = Params(), id_col: s
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = Encoder(tokenizer_path), Counter(), TaskContext.get().partitionId()
+        encode, seen, part = encoder(tokenizer_path), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             for some in chunks(batch, "_text"):
                 out, owner = [], []
@@ -177,7 +294,7 @@ def plan(counts: dict[int, int], p: Params = Params()) -> np.ndarray:
                 share = (rest[fits] - need) / caps if p.score == "norm" else rest[fits] / caps * (need / caps)
                 g = fits[np.argmin(np.sqrt((weight * share**2).sum(1)))] if p.score == "norm" else fits[np.argmax((weight * share).sum(1))]
                 most = int(((caps - used[g]) // need).min())
-                copies = min(most, left)
+                copies = min(most, left) if p.score == "norm" else 1  # by norm, the bin just used is the best again
                 bins = min(int(size[g]), left // copies)
                 out.append((length, rank, bins * copies, copies, first[g], used[g][0]))
                 new = (first[g], bins, used[g] + copies * need)

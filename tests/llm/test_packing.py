@@ -56,6 +56,44 @@ def test_plan_is_best_fit_one_by_one():
         assert checked(dict(Counter(lengths)), P.Params(tokens=64, documents=64, attention=64 * 64)) == len(rest)
 
 
+def one_by_one(lengths, p):
+    """Best fit of single pieces by their vectors: the least weighted residual norm, or the largest dot product."""
+    caps, weights, bins = np.array([p.tokens, p.documents, p.attention]), np.array(p.weights), []
+    for x in sorted(lengths, reverse=True):
+        need, best = np.array([x, 1, x * x]), None
+        for i, rest in enumerate(bins):
+            if (rest >= need).all():
+                score = np.sqrt((weights * ((rest - need) / caps) ** 2).sum()) if p.score == "norm" else -(weights * rest / caps * need / caps).sum()
+                if best is None or score < best[0] - 1e-12:
+                    best = score, i
+        if best:
+            bins[best[1]] = bins[best[1]] - need
+        else:
+            bins.append(caps - need)
+    return bins
+
+
+@pytest.mark.parametrize("p", [P.Params(), P.Params(documents=3), P.Params(weights=(0.2, 1.0, 3.0)), P.Params(score="dot"), P.Params(documents=4, score="dot", weights=(1.0, 0.5, 2.0))])
+def test_plan_is_vector_best_fit_one_by_one(p):
+    rng = random.Random(2)
+    for _ in range(12):
+        lengths = [min(2048, int(rng.paretovariate(0.7) * 20)) for _ in range(rng.randint(1, 250))]
+        bins = laid_out(P.plan(Counter(lengths), p), Counter(lengths))
+        expected = sorted(map(tuple, one_by_one(lengths, p)))
+        found = sorted((p.tokens - sum(x for _, x in b), p.documents - len(b), p.attention - sum(x * x for _, x in b)) for b in bins.values())
+        assert found == expected
+
+
+def test_every_dimension_has_its_say():
+    """With the registered weights, bins of equal tokens left are told apart, and the document limit binds."""
+    counts = Counter([1000] * 2 + [500] * 4 + [20] * 6 + [1] * 400)
+    bins = laid_out(P.plan(counts, P.Params()), counts)
+    assert max(len(b) for b in bins.values()) == P.Params().documents
+    lengths = Counter([1200, 600, 600, 800])
+    placed = lambda w: sorted(sorted(x for _, x in b) for b in laid_out(P.plan(lengths, P.Params(weights=w)), lengths).values())
+    assert placed((1.0, 0.0, 0.0)) == [[600, 600], [800, 1200]]
+
+
 def test_a_piece_over_a_capacity_is_refused():
     with pytest.raises(ValueError, match="over a capacity"):
         P.plan({30: 1}, P.Params(attention=100))
@@ -63,10 +101,12 @@ def test_a_piece_over_a_capacity_is_refused():
 
 def test_millions_of_pieces_take_few_rows():
     counts = {n: 10**9 // n for n in range(1, 2049)}
-    rows = P.plan(counts)
-    assert len(rows) < 20_000 and rows[:, 2].sum() == sum(counts.values())
-    bins = int((rows[:, 4] + -(-rows[:, 2] // rows[:, 3])).max())
-    assert bins <= 1.0001 * -(-sum(k * n for k, n in counts.items()) // 2048)
+    # most pieces are of a few tokens, so that 128 to a sequence ask for some more sequences
+    for p, over in ((P.Params(documents=2048), 1.0001), (P.Params(), 1.02)):
+        rows = P.plan(counts, p)
+        assert len(rows) < 20_000 and rows[:, 2].sum() == sum(counts.values())
+        bins = int((rows[:, 4] + -(-rows[:, 2] // rows[:, 3])).max())
+        assert bins <= over * -(-sum(k * n for k, n in counts.items()) // 2048)
 
 
 def test_words_encode_as_whole_texts():
@@ -75,13 +115,45 @@ def test_words_encode_as_whole_texts():
     t = Tokenizer.from_file(tokenizer_path())
     t.encode_special_tokens = True
     rng = random.Random(2)
-    parts = ["a", "É", "é", " ", "\n", "\t", "　", "'s", "’", "12", "ß", "Σ", "😀", "<|endoftext|>", "\x1c", "̸", "!?", "\xa0", "ING", "\r"]
+    parts = ["don't", "'ll", "'", "re", "'S", "d", "v", "m", "t", "Ɓ", "²", "a", "É", "é", " ", "\n", "\t", "　", "'s", "’", "12", "ß", "Σ", "😀", "<|endoftext|>", "\x1c", "̸", "!?", "\xa0", "ING", "\r"]
     cases = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [d[1] or "" for d in documents()]
     got = P.Encoder(tokenizer_path())(cases)
     for text, ids, e in zip(cases, got, t.encode_batch(cases, add_special_tokens=False), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == e.ids, text
 
 
+def test_caches_are_bounded_by_bytes_and_change_nothing(monkeypatch):
+    monkeypatch.setattr(P, "CACHE_BYTES", 3000)
+    monkeypatch.setattr(P, "PART_CHARS", 50)
+    test_words_encode_as_whole_texts()
+    e = P.Encoder(tokenizer_path())
+    for i in range(40):
+        e([" ".join(f"word{i}x{j}" for j in range(50)), "漢" * 400 + str(i)])
+    assert len(e.ids) * 4 + len(e.hashes) * P.PLAIN_BYTES < 3000 + 50 * 100 and len(e.odd) < 10
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    given = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    given["normalizer"]["normalizers"] = given["normalizer"]["normalizers"][:2]  # case is kept
+    (tmp_path / "cased.json").write_text(json.dumps(given))
+    t = Tokenizer.from_file(str(tmp_path / "cased.json"))
+    e = P.Encoder(str(tmp_path / "cased.json"))
+    cases = ["A bc DEF's", "", "é 12"]
+    assert not e.known and P.Encoder(tokenizer_path()).known
+    assert [np.frombuffer(x, "<u4").tolist() for x in e(cases)] == [x.ids for x in t.encode_batch(cases, add_special_tokens=False)]
+
+
+def test_a_very_long_text_in_parts(monkeypatch):
+    text = " ".join(f"Word{i % 97}" for i in range(3000)) + " 漢 " + "x" * 5000
+    whole = P.Encoder(tokenizer_path())([text, text[:2000]])
+    monkeypatch.setattr(P, "PART_CHARS", 100)
+    assert P.Encoder(tokenizer_path())([text, text[:2000]]) == whole
+
+
 @pytest.mark.parametrize("tokens", [2048, 16])
 def test_packing_round_trip(spark, docs, tokens):
     p = P.Params(tokens=tokens, documents=tokens, attention=tokens * tokens)
