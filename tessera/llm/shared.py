@@ -1,17 +1,7 @@
-"""Helpers of the corpus operators: shared storage and Arrow batches of texts.
-
-Tables that cut lineage are Parquet files below ``spark.checkpoint.dir``, which
-all executors of a cluster share, so a lost executor costs only the tasks that
-it ran. A folder of our own is used only where the session names none and all runs
-on this machine; on a cluster without that setting, operators that need one fail.
-"""
+"""Helpers of the corpus operators: shared tables and Arrow batches of texts."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,55 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import mark, release, shared_dir, table
+
+__all__ = ["CHUNK_BYTES", "SENT_IDS", "chunks", "crc_mod", "mark", "read", "release", "shared_dir", "table", "texts"]
 
 #: Bytes of text that a NumPy kernel works on at once (a longer text is alone).
 CHUNK_BYTES = 1 << 20
 #: Ids that are sent to all tasks at most; beyond that, rows are joined by a shuffle.
 SENT_IDS = 1_000_000
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, else, on one machine, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found or f"file:///tmp/checkpoints/tessera-{os.getuid()}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def release(since: int = 0, until: int | None = None) -> None:
-    """Delete the tables that this process wrote, once results are written: all of them,
-    or those between two marks. What cannot be deleted (its session may be closed) is
-    left and does not hold up the others."""
-    some = _written[since:until]
-    del _written[since:until]
-    for spark, path in some:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001
-            continue
-
-
-def mark() -> int:
-    """The number of tables written and not yet deleted, for ``release``."""
-    return len(_written)
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
