@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -55,6 +56,8 @@ class Parse(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.keep_reading = keep_reading
         self.open: list[str] = []
+        self.count: Counter[str] = Counter()  # of the names in it
+        self.inside = 0  # blocks in it
         self.data: list[str] = []  # of the text between two tags
         self.blocks: list[str] = []
         self.block: list[str] | None = None
@@ -74,29 +77,33 @@ class Parse(HTMLParser):
     def _flush(self) -> None:
         text = "".join(self.data)
         self.data.clear()
-        if not text or SILENT & set(self.open):
+        if not text or any(self.count[name] for name in SILENT):
             return
         if not text.strip(" \t\n\r\f\v"):
             text = "\n" if "\n" in text else " "
         if self.ruby is None:
             self._put(text, text)
-        elif "rp" not in self.open:
-            self.ruby["rt" in self.open].append(text)
+        elif not self.count["rp"]:
+            self.ruby[self.count["rt"] > 0].append(text)
 
     def _pop(self) -> None:
         name = self.open.pop()
-        if name == "ruby" and "ruby" not in self.open and self.ruby is not None:
+        self.count[name] -= 1
+        self.inside -= name in BLOCKS
+        if name == "ruby" and not self.count["ruby"] and self.ruby is not None:
             base, reading = ("".join(x) for x in self.ruby)
             self.ruby = None
             self._put(f"{base}({reading})" if self.keep_reading and reading else base, base)
-        if name in BLOCKS and not BLOCKS & set(self.open):
+        if name in BLOCKS and not self.inside:
             self.blocks.append("".join(self.block or ()))
             self.block = None
-        if name in TITLES and name not in self.open:
+        if name in TITLES and not self.count[name]:
             self.titled.discard(name)
 
     def _close(self, names: frozenset[str] | set[str], within: frozenset[str] = frozenset()) -> None:
         """End the innermost open element of ``names`` that is not beyond one of ``within``."""
+        if not any(self.count[name] for name in names):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i] in names:
                 while len(self.open) > i:
@@ -117,14 +124,16 @@ class Parse(HTMLParser):
             self._close({"rt", "rp"}, frozenset(("ruby",)))
         if tag in VOID:
             return
-        if tag in BLOCKS and not BLOCKS & set(self.open):
+        if tag in BLOCKS and not self.inside:
             self.block = []
         if tag in TITLES and tag not in self.titles:
             self.titles[tag] = []
             self.titled.add(tag)
-        if tag == "ruby" and "ruby" not in self.open:
+        if tag == "ruby" and not self.count["ruby"]:
             self.ruby = ([], [])
         self.open.append(tag)
+        self.count[tag] += 1
+        self.inside += tag in BLOCKS
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,8 +142,7 @@ class Parse(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._flush()
-        if tag in self.open:
-            self._close({tag})
+        self._close({tag})
 
     def handle_data(self, data: str) -> None:
         self.data.append(data)

@@ -2,6 +2,9 @@
 
 Input: ``spine(book_id, pos, item_id)``, positions from 1, and ``items(book_id,
 item_id, name, content, ord)``. Result: one DataFrame per output, all lazy.
+
+The names of files and folders and the words of log lines are fixed values: whoever
+reads them expects these.
 """
 
 from __future__ import annotations
@@ -18,6 +21,13 @@ from ..functions.html import parsed
 from .document import document_text, document_title
 
 NON_CHAPTER_DIR = "non-chapters-files"
+#: What a run says of a book of which no item is a chapter.
+HINT = (
+    f'No item has a title that the chapter rules know: all %d item(s) are in "{NON_CHAPTER_DIR}". If chapters are among them, '
+    "add their titles to Config.chapter_titles, or turn chapter detection off."
+)
+CANCELLED = "Cancelled by user."
+NO_TEXT = "No chapter text found. The EPUB may use an unsupported structure."
 
 
 @dataclass(frozen=True)
@@ -34,10 +44,12 @@ class Config:
 
 
 def reading_order(spine: DataFrame, items: DataFrame) -> DataFrame:
-    """Spine rows with their item; the last of items with one id counts, spine ids
-    without an item are left out, ids the spine has twice come twice."""
-    last = items.groupBy("book_id", "item_id").agg(F.max_by(F.struct("name", "content"), "ord").alias("_item"))
-    return spine.join(last, ["book_id", "item_id"]).select("book_id", "pos", "item_id", "_item.name", "_item.content")
+    """Spine rows with their item; of items with one id the one of the largest ``ord``
+    counts (which tells them apart), spine ids without an item are left out, ids the spine
+    has twice come twice. Contents are moved once, and no aggregate holds them."""
+    last = items.groupBy("book_id", "item_id").agg(F.max("ord").alias("_last"))
+    found = items.join(last, ["book_id", "item_id"]).where("ord = _last").select("book_id", "item_id", "name", "content")
+    return spine.select("book_id", "pos", "item_id").join(found, ["book_id", "item_id"]).select("book_id", "pos", "item_id", "name", "content")
 
 
 def chapters(spine: DataFrame, items: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -121,9 +133,9 @@ def closing(result: DataFrame, cfg: Config = Config(), out_dir: str = "output")
     else:
         more = F.array(F.format_string("Wrote %d non-chapter file(s) to %s/%s", "non_chapter_count", F.lit(out), "non_chapter_dir"))
         lines = F.concat(F.array(F.format_string("Wrote %d chapter file(s) to %s", "chapter_count", F.lit(out))), F.when(F.col("non_chapter_count") > 0, more).otherwise(F.array().cast("array<string>")))
-    none = F.array(F.lit("No chapter text found. The EPUB may use an unsupported structure."))
+    none = F.array(F.lit(NO_TEXT))
     some = F.col("chapter_count") + F.col("non_chapter_count") > 0
-    stopped = F.array(F.lit("Cancelled by user."))
+    stopped = F.array(F.lit(CANCELLED))
     return result.select("book_id", F.posexplode(F.when(F.col("cancelled"), stopped).when(some, lines).otherwise(none)).alias("line_no", "line"))
 
 
@@ -136,9 +148,9 @@ def log_tag(line: Column) -> Column:
 
 
 def unmatched(result: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """book_id, n: the books whose items all went with the non-chapters, worth a hint."""
+    """book_id, n and hint of the books whose items all went with the non-chapters."""
     hit = (F.col("chapter_count") == 0) & (F.col("non_chapter_count") > 0) & ~F.col("cancelled")
-    return result.where(hit & F.lit(cfg.classify)).select("book_id", F.col("non_chapter_count").alias("n"))
+    return result.where(hit & F.lit(cfg.classify)).select("book_id", F.col("non_chapter_count").alias("n"), F.format_string(HINT, "non_chapter_count").alias("hint"))
 
 
 def cancelled(spine: DataFrame, before: int) -> DataFrame:

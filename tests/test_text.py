@@ -35,16 +35,12 @@ def test_dividers(spark):
 
 
 def joined(paragraphs):
-    """A loop over paragraphs with a flag for a section break to come."""
-    out, gap = "", False
-    for p in paragraphs:
-        if p:
-            out += (("\n\n" if gap else "\n") if out else "") + p
-        gap = not p
-    return out
+    """Runs of paragraphs that are not empty: one line break within a run, two between runs."""
+    runs = [list(group) for full, group in itertools.groupby(paragraphs, bool) if full]
+    return "\n\n".join("\n".join(run) for run in runs)
 
 
-def test_join_paragraphs_equals_a_loop(spark):
+def test_join_paragraphs_equals_grouping(spark):
     cases = [list(c) for n in range(7) for c in itertools.product(("", "a", "b"), repeat=n)]
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, ps array<string>")
     found = [r["y"] for r in rows.select("i", X.join_paragraphs(F.col("ps")).alias("y")).orderBy("i").collect()]
