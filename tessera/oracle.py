@@ -6,6 +6,7 @@ so agreement is evidence about both. Elsewhere the expected value is spelled out
 
 from __future__ import annotations
 
+# White space as the engine strips it, dividers, titles, names of files and log lines.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -110,6 +111,32 @@ def _scenes(mark: str) -> str:
     return f"SELECT doc_id, {_join(f"['a', {mark}, 'b']")} AS text FROM (SELECT doc_id, {_pick(_quoted(_MARKS), 'doc_id % 7')} AS m FROM documents)"
 
 
+_HINT = (
+    "'No item has a title that the chapter rules know: all ' || non_chapter_count || ' item(s) are in \"non-chapters-files\". If chapters are among them, "
+    "add their titles to Config.chapter_titles, or turn chapter detection off.'"
+)
+#: Items of the archives made of conversations, with their place in the manifest and whether they are there.
+_ARCHIVE = f"""
+WITH t AS (SELECT conv_id AS book_id, turn, text, conv_id + turn AS k FROM conversations),
+i AS (
+  SELECT book_id, turn, 'i' || turn AS item_id, 1 AS o, 'text/part' || turn || '.xhtml' AS name,
+    CASE WHEN k % 7 = 0 THEN '<html><body></body></html>' ELSE '<html><body><h1>' || {_pick(_quoted(_NAMES), "k % 6")} || '</h1><p>' || {_WORDS} || '</p></body></html>' END AS content FROM t
+  UNION ALL SELECT book_id, turn, 'i' || turn, 0, 'old.xhtml', '<p>old</p>' FROM t WHERE turn % 3 = 0
+),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY o, turn) AS ord, (turn + o) % 11 <> 3 AS there FROM i)
+"""
+#: The chapters that come of them: an older item counts where the newer one is not there.
+_READ = f"""{_ARCHIVE},
+l AS (SELECT book_id, turn, arg_max(o, ord) AS o FROM n WHERE there AND turn % 5 <> 4 GROUP BY book_id, turn),
+b AS (
+  SELECT l.book_id, l.turn + 1 AS pos, CASE WHEN o = 0 THEN 'old' WHEN k % 7 = 0 THEN 'part' || l.turn ELSE {_pick(_quoted(_NAMES), 'k % 6')} END AS title,
+    CASE WHEN o = 0 THEN 'old' WHEN k % 7 = 0 THEN '' ELSE {_pick(_quoted(_NAMES), 'k % 6')} || chr(10) || {_WORDS} END AS text
+  FROM l JOIN t ON l.book_id = t.book_id AND l.turn = t.turn
+),
+r AS (SELECT *, {_chapter("title")} AS is_chapter, 'book ' || book_id || '/' AS folder FROM b WHERE text <> '')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     spans = r"regexp_replace(html, '(?i)<(/?)(p|h[1-6]|li)([\s>])', '<\1span\3', 'g')"
     bare = f"regexp_replace({spans}, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<!doctype[^>]*>|<[^>]*>', '', 'g')"
@@ -128,7 +155,7 @@ def oracle_sql() -> dict[str, str]:
         "scene_breaks_kept": _scenes("m"),
         "paragraph_join": rf"SELECT doc_id, {_join("list_concat([''], list_concat(string_split(regexp_replace(text, '[.] ', chr(10) || chr(10) || chr(10), 'g'), chr(10)), ['', '']))")} AS text FROM documents",
         "chapter_predicate": f"SELECT doc_id, t AS title, {_chapter('t')} AS is_chapter FROM (SELECT doc_id, {_pick(_quoted(_TITLES), 'doc_id % 12')} AS t FROM documents)",
-        "safe_filename": f"""SELECT page_id, {_file("CASE WHEN page_id % 9 = 0 THEN ' ' || chr(12288) || ' ' ELSE ' ' || url || ' *?\"<>|' || chr(92) || ' ' || chr(12288) || ' ' || substring(html, 1, 40) END")} AS name FROM pages""",
+        "safe_filename": f"""SELECT page_id, {_file("CASE WHEN page_id % 9 = 0 THEN ' ' || chr(12288) || ' ' ELSE ' ' || url || ' *?\"<>|' || chr(92) || ' ' || chr(12288) || ' ' || html END")} AS name FROM pages""",
         "fallback_title": f"SELECT page_id, {_stem('n')} AS title FROM (SELECT page_id, url || {_pick(_quoted(('.xhtml', '/a.b.c', '/.a', '/x/', '')), 'page_id % 5')} AS n FROM pages)",
         "padded_index": "SELECT doc_id, printf('%03d', doc_id * 3) AS padded FROM documents",
         "text_length": "SELECT doc_id, length(text) AS n FROM documents",
@@ -144,6 +171,14 @@ def oracle_sql() -> dict[str, str]:
         "single_file": f"""{_BOOK} SELECT book_id, book_id || '_full_text.txt' AS rel_path,
             string_agg(chr(10) || chr(10) || '===== ' || printf('%03d', pos) || ' ' || title || ' =====' || chr(10) || chr(10) || text || chr(10), '' ORDER BY pos) AS text FROM r WHERE text <> '' GROUP BY book_id""",
         "single_beats_flat": f"{_BOOK} SELECT DISTINCT book_id, book_id || '_full_text.txt' AS rel_path FROM r WHERE text <> ''",
+        "epub_spine": "SELECT conv_id AS book_id, turn + 1 AS pos, CASE WHEN turn % 5 = 4 THEN 'gone' ELSE 'i' END || turn AS item_id, CASE WHEN turn % 2 = 0 THEN 'no' ELSE 'yes' END AS linear FROM conversations",
+        "epub_items": f"{_ARCHIVE} SELECT book_id, item_id, o || '/' || turn || '/' || name AS name, content, ord FROM n WHERE there",
+        "epub_errors": f"{_ARCHIVE} SELECT book_id, item_id, o || '/' || turn || '/' || name AS name FROM n WHERE NOT there",
+        "written_chapters": f"""{_READ}, q AS (SELECT *, row_number() OVER (PARTITION BY book_id, is_chapter ORDER BY pos) AS n FROM r)
+            SELECT folder || CASE WHEN is_chapter THEN 'chapter_' || printf('%03d', n) || '.txt' ELSE 'non-chapters-files/' || {_OWN} END AS rel_path, text FROM q""",
+        "written_flat": f"{_READ} SELECT folder || {_OWN} AS rel_path, text FROM r",
+        "written_single": f"""{_READ} SELECT folder || book_id || '_full_text.txt' AS rel_path,
+            string_agg(chr(10) || chr(10) || '===== ' || printf('%03d', pos) || ' ' || title || ' =====' || chr(10) || chr(10) || text || chr(10), '' ORDER BY pos) AS text FROM r GROUP BY book_id, folder""",
         "run_summary": _summary(*_SPLIT),
         "run_summary_flat": _summary(*_ALL, "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)"),
         "run_summary_single": _summary(*_ALL, "CAST(NULL AS VARCHAR)", "CASE WHEN c > 0 THEN z.book_id || '_full_text.txt' END"),
@@ -160,7 +195,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT book_id, 'Wrote ' || chapter_count || ' chapter file(s) to output', 'success' FROM y WHERE chapter_count + non_chapter_count > 0
             UNION ALL SELECT book_id, 'Wrote ' || non_chapter_count || ' non-chapter file(s) to output/non-chapters-files', 'success' FROM y WHERE non_chapter_count > 0
             UNION ALL SELECT book_id, 'No chapter text found. The EPUB may use an unsupported structure.', 'text' FROM y WHERE chapter_count + non_chapter_count = 0""",
-        "unmatched_books": f"SELECT book_id, non_chapter_count AS n FROM ({_summary(*_SPLIT)}) WHERE chapter_count = 0 AND non_chapter_count > 0",
+        "unmatched_books": f"SELECT book_id, non_chapter_count AS n, {_HINT} AS hint FROM ({_summary(*_SPLIT)}) WHERE chapter_count = 0 AND non_chapter_count > 0",
         "progress_events": f"{_BOOK} SELECT book_id, pos, total, title, is_chapter, CAST(floor(CAST(pos AS DOUBLE) / total * 100) AS BIGINT) AS percent FROM r",
         "cancel_prefix": f"""{_BOOK}, e AS (SELECT book_id, count(*) AS events FROM r WHERE pos < 3 GROUP BY book_id), l AS (SELECT book_id, max(pos) AS m FROM s GROUP BY book_id)
             SELECT l.book_id, CAST(2 AS BIGINT) AS total_items, CAST(0 AS BIGINT) AS chapter_count, CAST(0 AS BIGINT) AS non_chapter_count, true AS cancelled, CAST(coalesce(events, 0) AS BIGINT) AS events

@@ -8,15 +8,19 @@ texts. Each query reads its whole table.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
 from .functions import text as X
 from .functions.html import parsed
-from .operators import book, document
+from .operators import book, document, sink
 from .shipping import ship
+from .sources import epub
 
 LONG = "long"
 
@@ -129,7 +133,7 @@ def chapter_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.col("page_id") % 9 == 0, F.lit(" 　 ")).otherwise(F.concat(F.lit(" "), "url", F.lit(' *?"<>|\\ 　 '), F.substring("html", 1, 40)))
+    name = F.when(F.col("page_id") % 9 == 0, F.lit(" 　 ")).otherwise(F.concat(F.lit(" "), "url", F.lit(' *?"<>|\\ 　 '), "html"))
     return read(spark, sf_dir, "pages").select("page_id", X.safe_filename(name).alias("name"))
 
 
@@ -146,18 +150,20 @@ def text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast(LONG).alias("n"))
 
 
-# Books: the turns of a conversation are its spine; every fifth turn has no item, every
-# third has an older item under the same id, every seventh (of the sum) has no text.
+# Books: the turns of a conversation are its spine and its items; the spine has another
+# id for every fifth turn, every third turn has an older item under the same id, every
+# seventh (of the sum) has no text.
 _NAMES = ("第一章", "12", "Chapter 3", "プロローグ", "note/1", "１")
 
 
 def _spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("book_id"), (F.col("turn") + 1).alias("pos"), F.concat(F.lit("i"), F.col("turn").cast("string")).alias("item_id"))
+    kind = F.when(F.col("turn") % 5 == 4, "gone").otherwise("i")
+    return c.select(F.col("conv_id").alias("book_id"), (F.col("turn") + 1).alias("pos"), F.concat(kind, F.col("turn").cast("string")).alias("item_id"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations").where("turn % 5 <> 4")
+    c = read(spark, sf_dir, "conversations")
     key = (F.col("conv_id") + F.col("turn")).cast("int")
     title = F.element_at(F.array(*(F.lit(t) for t in _NAMES)), key % 6 + 1)
     body = F.concat(F.lit("<html><body><h1>"), title, F.lit("</h1><p>"), _words(F.col("text")), F.lit("</p></body></html>"))
@@ -218,6 +224,63 @@ def single_beats_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.outputs(_chapters(spark, sf_dir, cfg), cfg).select("book_id", "rel_path")
 
 
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book_id, content: each conversation's spine and items as an EPUB archive. Items of
+    one id follow each other by ``ord``; one item in eleven of the manifest is not there."""
+    spine = _spine(spark, sf_dir).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("spine"))
+    items = _items(spark, sf_dir).withColumn("turn", F.substring("item_id", 2, 9).cast("int"))
+    items = items.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("ord", "turn", "item_id", "name", "content"))).alias("items"))
+
+    def archive(spine: list, items: list) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="in side/book.opf"/></rootfiles></container>')
+            manifest = "".join(f'<item id="{x["item_id"]}" href="{x["ord"]}/{x["turn"]}/{x["name"]}" media-type="application/xhtml+xml"/>' for x in items)
+            refs = "".join(f'<itemref idref="{x["item_id"]}" linear="{"no" if x["pos"] % 2 else "yes"}"/>' for x in spine)
+            z.writestr("in side/book.opf", f'<!DOCTYPE package><package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="css" href="a.css" media-type="text/css"/>{manifest}</manifest><spine>{refs}</spine></package>')
+            for x in items:
+                if (x["turn"] + x["ord"]) % 11 != 3:
+                    z.writestr(f"in side/{x['ord']}/{x['turn']}/{x['name']}", x["content"])
+        return out.getvalue()
+
+    return spine.join(items, "book_id").select("book_id", F.udf(archive, "binary", useArrow=False)("spine", "items").alias("content"))
+
+
+def epub_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epub.read_archives(_archives(spark, sf_dir)).spine
+
+
+def epub_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = epub.read_archives(_archives(spark, sf_dir)).items
+    return rows.select("book_id", "item_id", "name", F.decode("content", "utf-8").alias("content"), "ord")
+
+
+def epub_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epub.read_archives(_archives(spark, sf_dir)).errors.select("book_id", "item_id", "name")
+
+
+def _written(spark: SparkSession, sf_dir: str, cfg: book.Config) -> DataFrame:
+    """The files that a run writes from archives, read back: rel_path (with the book) and text."""
+    found = epub.read_archives(_archives(spark, sf_dir))
+    rows = book.outputs(book.chapters(found.spine, found.items, cfg), cfg)
+    folder = storage.folder(spark, "files")
+    sink.write_files(rows.select(F.concat(F.lit("book "), F.col("book_id").cast("string"), F.lit("/"), "rel_path").alias("rel_path"), "text"), folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_extract("path", "/(book [0-9]+/.*)", 1).alias("rel_path"), F.decode("content", "utf-8").alias("text"))
+
+
+def written_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, SPLIT)
+
+
+def written_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, FLAT)
+
+
+def written_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, SINGLE)
+
+
 def _summary(spark: SparkSession, sf_dir: str, cfg: book.Config) -> DataFrame:
     return book.summary(_spine(spark, sf_dir), _chapters(spark, sf_dir, cfg), cfg)
 
@@ -279,7 +342,7 @@ _QUERIES = (
     page_blocks, page_text, page_title, page_no_block_fallback, page_nested_blocks, ruby_strip, ruby_keep, script_style_dropped, collapse_newlines, unicode_strip,
     scene_breaks, scene_breaks_kept, paragraph_join, chapter_predicate, safe_filename, fallback_title, padded_index, text_length, spine_join, spine_totals, empty_filter,
     labels, labels_flat, chapter_numbering, output_paths, flat_paths, single_file, single_beats_flat, run_summary, run_summary_flat, run_summary_single, empty_book,
-    process_log, log_tags, unmatched_books, progress_events, cancel_prefix, duration_format, terminal_state,
+    epub_spine, epub_items, epub_errors, written_chapters, written_flat, written_single, process_log, log_tags, unmatched_books, progress_events, cancel_prefix, duration_format, terminal_state,
 )
 
 
