@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, packing, pairwise_quality, pii, quality_rules, sharding, simhash, toxic_crf
+from . import chat, decontaminate, line_dedup, oracle, packing, pairwise_quality, pii, quality_rules, sharding, simhash, toxic_crf
 from .shared import crc_mod, read
 
 
@@ -91,33 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op7_prefix_target": _OP7}
-
-
-_OP7 = r"""
-WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-)
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-  CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  CAST(sum(14 + length(regexp_replace(role, '[\\#<:]', '__', 'g')) + length(regexp_replace(text, '[\\#<]', '__', 'g'))) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
-"""
-
-_OP1 = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-l AS (
-  SELECT r, doc_id, i, s[i] AS line,
-    translate(regexp_replace(s[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT r, doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT r, doc_id, string_split(text, chr(10)) AS s FROM d))
-),
-k AS (SELECT key, max(doc_id) AS holder FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id <> k.holder AS gone FROM l LEFT JOIN k ON l.key = k.key)
-SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY r
-"""
+    return oracle.sql()
