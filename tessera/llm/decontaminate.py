@@ -23,7 +23,8 @@ characters, each sent to all tasks and searched for in all rows. No row is shuff
 Defined cases: null texts and items, and those of white space only, never match;
 repeated rows are reported each, items of equal text under the least of their ids; of
 overlapping regions of one item the one of fewest edits is reported, of these the
-first; a very long text is searched whole by one task; an empty benchmark or table
+first; a very long text is searched in segments that overlap by more than an item, by
+one task; an empty benchmark or table
 gives no leaks; columns of other names are not read, or kept as they are by ``clean``.
 """
 
@@ -41,6 +42,8 @@ from pyspark.sql import types as T
 from .shared import chunks
 
 _TABLE_BITS = 22
+#: Characters of a long text that are searched at once, with what they share with the next ones.
+SEGMENT = 1 << 20
 #: Pairs of a hit and its place in an item that are held at once.
 SPREAD = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -130,8 +133,41 @@ class Index:
         """(text number, item, start, end, edits), offsets in characters of the text."""
         if not self.parts:
             return []
+        long = {i for i, t in enumerate(texts) if t and len(t) > SEGMENT}
+        found = self._regions([None if i in long else t for i, t in enumerate(texts)])
+        for i in long:
+            for a, b in self._segments(texts[i]):
+                for (_, part, m), edits, start, end in self._regions([texts[i][a:b]]):
+                    # what touches a cut is whole in the segment beside
+                    if (start or not a) and (end < b - a or b == len(texts[i])):
+                        found.append(((i, part, m), edits, start + a, end + a))
+        best: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
+        for key, *region in found:
+            best.setdefault(key, []).append(tuple(region))
+        out = []
+        for (t, part, m), regions in best.items():
+            taken: list[tuple[int, int]] = []
+            for edits, start, end in sorted(regions):
+                if all(end <= a or start >= z for a, z in taken):
+                    taken.append((start, end))
+                    out.append((t, self.parts[part].patterns[m].item, start, end, edits))
+        return out
+
+    def _regions(self, texts: list[str | None]) -> list[tuple[tuple[int, int, int], int, int, int]]:
         given = normal(texts)
-        return [hit for part in self.parts for hit in part.search(*given)]
+        return [((t, i, m), *region) for i, part in enumerate(self.parts) for t, m, *region in part.search(*given)]
+
+    def _segments(self, text: str) -> Iterator[tuple[int, int]]:
+        """Ranges of a long text that share more than a region with their neighbours."""
+        reach = int(max((p.size + p.edits).max() for p in self.parts)) + 2
+        for at in range(0, len(text), SEGMENT):
+            a, b, step = at, min(at + SEGMENT, len(text)), reach
+            while a and len(normal([text[a:at]])[0]) < reach:
+                a, step = max(0, a - step), 2 * step
+            step, end = reach, b
+            while b < len(text) and len(normal([text[end:b]])[0]) < reach:
+                b, step = min(len(text), b + step), 2 * step
+            yield a, b
 
 
 def _letter(char: int) -> bool:
@@ -154,7 +190,8 @@ class Grams:
         self.table[self.code >> np.uint64(64 - _TABLE_BITS)] = True
         self.edits, self.bound, self.size = (np.array([f(x) for x in patterns], np.int64) for f in (lambda x: x.edits, lambda x: x.bound, lambda x: len(x.chars)))
 
-    def search(self, chars: np.ndarray, owner: np.ndarray, place: np.ndarray) -> list[tuple[int, object, int, int, int]]:
+    def search(self, chars: np.ndarray, owner: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text number, pattern, edits, start, end) of all regions that are close enough."""
         code = grams(chars, self.q)
         hit = np.flatnonzero(self.table[code >> np.uint64(64 - _TABLE_BITS)])
         hit = hit[owner[hit] == owner[hit + self.q - 1]] if len(hit) else hit
@@ -171,17 +208,11 @@ class Grams:
         dense = np.cumsum(reach[:-1]) > 0
         hit, row = hit[dense], row[dense]
         key, n = self._bands(hit, row, owner)
-        best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        out = []
         for t, m, b in key[n >= self.bound[key[:, 1]]].tolist():
             if r := self._verify(chars, owner, t, self.patterns[m], b * (int(self.edits[m]) + 1)):
-                best.setdefault((t, m), []).append(r)
-        out = []
-        for (t, m), regions in best.items():
-            taken: list[tuple[int, int]] = []
-            for edits, start, end in sorted(regions):
-                if all(end <= a or start >= z for a, z in taken):
-                    taken.append((start, end))
-                    out.append((t, self.patterns[m].item, int(place[start]), int(place[end - 1]) + 1, edits))
+                edits, start, end = r
+                out.append((t, m, edits, int(place[start]), int(place[end - 1]) + 1))
         return out
 
     def _bands(self, hit: np.ndarray, row: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,15 +4,23 @@ All work on one buffer with n + 1 offsets (``shared.texts``): no loop over words
 A word is ``[^\\x20\\x09-\\x0D]+`` unless a kernel says otherwise. Range hashes are
 64-bit polynomials over random byte values; equal hashes count as equal words,
 which errs with a chance of about pairs / 2**64 in one text.
+
+A text over ``BLOCK`` bytes is taken in blocks that end between words, so that what is
+held for each byte is bounded; what is held for each word is not.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes whose hashes and positions are worked out at once.
+BLOCK = 1 << 21
+#: Texts that are counted one by one at most.
+FEW = 64
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 SPACE = np.zeros(256, bool)
@@ -39,10 +47,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         size = -(-n // (1 << 18)) << 18
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+        found = []
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
             step = np.full(size, base, np.uint64)
             step[0] = 1
-            _POWERS[i] = np.cumprod(step, dtype=np.uint64)
+            found.append(np.cumprod(step, dtype=np.uint64))
+        if size > 2 * BLOCK:  # not worth keeping
+            return found[0][:n], found[1][:n]
+        _POWERS[:] = found
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
@@ -72,6 +84,33 @@ def runs(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.n
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def blocks(buf: np.ndarray, inside: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of about ``BLOCK`` bytes that no run of bytes in a class crosses."""
+    out, at = [], 0
+    while at < len(buf):
+        to = at + BLOCK
+        while to < len(buf):
+            gap = np.flatnonzero(~inside[buf[to : to + (1 << 16)]])
+            if len(gap):
+                to += int(gap[0])
+                break
+            to += 1 << 16
+        out.append((at, min(to, len(buf))))
+        at = out[-1][1]
+    return out
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, text number and hash of the maximal runs of bytes in a class."""
+    found = []
+    for a, b in blocks(buf, inside):
+        own = np.concatenate([[0], offsets[(offsets > a) & (offsets < b)] - a, [b - a]])
+        start, end, _ = runs(buf[a:b], own, inside)
+        found.append((start + a, end + a, Ranges(buf[a:b])(start, end)))
+    start, end, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+    return start, end, np.searchsorted(offsets, start, "right") - 1, key
+
+
 def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of all \\n-split lines; an empty text has one."""
     breaks = np.flatnonzero(buf == 10)
@@ -90,7 +129,28 @@ def per_text(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np
     return out if weights is not None and weights.dtype.kind == "f" else np.rint(out).astype(np.int64)
 
 
+def line_keys(buf: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of each text; then the text number and a hash of each line with a word, of
+    which ``word`` has the starts."""
+    n = len(offsets) - 1
+    if len(buf) <= BLOCK:
+        at, to, line_of = lines(buf, offsets)
+        first = np.searchsorted(word, at)
+        full = (first < len(word)) & (np.append(word, np.iinfo(np.int64).max)[first] < to)
+        return per_text(line_of, n), line_of[full], Ranges(buf)(at[full], to[full])
+    count, owner, keys = np.zeros(n, np.int64), [], []
+    for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+        split = buf[a:b].tobytes().split(b"\n")
+        own = [xxhash.xxh3_64_intdigest(x) for x in split if x.strip(b"\x20\x09\x0a\x0b\x0c\x0d")]
+        count[i] = len(split)
+        owner.append(np.full(len(own), i))
+        keys.append(np.array(own, np.uint64))
+    return count, np.concatenate(owner), np.concatenate(keys)
+
+
 def count_bytes(hit: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    if len(offsets) <= FEW:
+        return np.array([np.count_nonzero(hit[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)], np.int64)
     sums = np.zeros(len(hit) + 1, np.int64)
     np.cumsum(hit, out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
@@ -126,26 +186,21 @@ def repeated_words(word_hash: np.ndarray, owner: np.ndarray, n: int, width: int
 def basics(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Per text: the counts that the quality rules and the classifier start from."""
     n = len(offsets) - 1
-    start, end, owner = runs(buf, offsets, ~SPACE)
-    hashes = Ranges(buf)
+    start, _, owner, word_hash = words(buf, offsets, ~SPACE)
+    n_lines, line_of, key = line_keys(buf, offsets, start)
     points = (buf & 0xC0) != 0x80
     count = lambda chars: count_bytes(members(chars)[buf], offsets)
-    words = per_text(owner, n)
-    word_hash = hashes(start, end)
-    at, to, line_of = lines(buf, offsets)
-    first = np.searchsorted(start, at)
-    full = (first < len(start)) & (np.append(start, np.iinfo(np.int64).max)[first] < to)
-    key = hashes(at[full], to[full]) ^ mix(line_of[full].astype(np.uint64) + np.uint64(99))
-    distinct = np.unique(key, return_index=True)[1]
+    n_words = per_text(owner, n)
+    distinct = np.unique(key ^ mix(line_of.astype(np.uint64) + np.uint64(99)), return_index=True)[1]
     distinct_words = np.unique(word_hash ^ mix(owner.astype(np.uint64) + np.uint64(55)), return_index=True)[1]
     letters = (buf >= 0x61) & (buf <= 0x7A) | (buf >= 0xC0)
     return {
-        "n_words": words,
+        "n_words": n_words,
         "word_chars": count_bytes(points & ~SPACE[buf], offsets),
         "n_symbols": count("#*$%&|<>"),
-        "n_dup_lines": per_text(line_of[full], n) - per_text(line_of[full][distinct], n),
+        "n_dup_lines": per_text(line_of, n) - per_text(line_of[distinct], n),
         "n_repeat_words": repeated_words(word_hash, owner, n),
-        "n_lines": per_text(line_of, n),
+        "n_lines": n_lines,
         "n_chars": count_bytes(points, offsets),
         "n_upper": count_bytes((buf >= 0x41) & (buf <= 0x5A), offsets),
         "n_lower": count_bytes(letters, offsets),

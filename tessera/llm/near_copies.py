@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .kernel import _BASE, LOWER, SPACE, Ranges, mix, per_text, runs
+from .kernel import _BASE, LOWER, SPACE, mix, per_text, words
 from .shared import SENT_IDS, chunks, table, texts
 
 #: Nodes of a piece of a group.
@@ -50,8 +50,8 @@ class Params:
 def shingles(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text, ascending, end to end, and n + 1 bounds."""
     buf, n = LOWER[buf], len(offsets) - 1
-    start, end, owner = runs(buf, offsets, ~SPACE)
-    word, count = Ranges(buf)(start, end), per_text(owner, n)
+    _, _, owner, word = words(buf, offsets, ~SPACE)
+    count = per_text(owner, n)
     first = np.cumsum(count) - count
     full = np.flatnonzero(owner[: max(0, len(word) - width + 1)] == owner[width - 1 :])
     few = np.flatnonzero((count > 0) & (count < width))

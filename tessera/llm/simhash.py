@@ -20,12 +20,14 @@ Exact copies are one fingerprint before any link is looked for.
 
 Defined cases: a null or wordless text has fingerprint 0, linked like any other;
 texts under ``words`` words are one shingle; repeated rows get the same class; a
-null id is never the class unless its class has no other; an empty table gives no
+null id is never the class unless its class has no other; a bit set in just half of
+the hashes is 0; a very long text is taken in blocks of words; an empty table gives no
 rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -39,6 +41,9 @@ from pyspark.sql import types as T
 
 from .shared import SENT_IDS, chunks, table
 
+#: Bytes of a text whose words are taken at once, up to the end of a word.
+BLOCK = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Members of a bucket that one task compares with each other.
 LARGE = 4096
 #: Runs up to this length are compared by shifts, all runs at once.
@@ -53,18 +58,38 @@ class Params:
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
-    w = text.lower().split()
-    if not w:
-        return 0
+    w: list[bytes] = []  # of a block of the text, after the last words of the one before
+    ones, n, at = np.zeros(64, np.int64), 0, 0
+    while at < len(text):
+        end = _BLANK.search(text, at + BLOCK) if len(text) - at > BLOCK else None
+        to = end.start() if end else len(text)
+        w = w[len(w) - words + 1 :] if len(w) >= words else w
+        w += text[at:to].lower().split()
+        at = to
+        if len(w) >= words:
+            h = _hashed(w, words)
+            ones, n = ones + _ones(h), n + len(h)
+    if not n:
+        if not w:
+            return 0
+        ones, n = _ones(_hashed(w, len(w))), 1
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def _hashed(w: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of every ``size`` words in a row."""
     joined, ends = b" ".join(w), np.cumsum([len(x) + 1 for x in w]) - 1
-    size = min(words, len(w))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(w) - size + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts))
-    ones = np.zeros(64, np.int64)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How often each bit is set."""
+    out = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+        out += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return out
 
 
 def fingerprints(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

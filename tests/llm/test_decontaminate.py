@@ -106,6 +106,18 @@ def test_equal_items_are_searched_once(spark):
         assert [r["item_id"] for r in out] == [7]
 
 
+@pytest.mark.parametrize("size", [40, 333, 1000])
+def test_long_texts_in_segments(monkeypatch, size):
+    rng = random.Random(9)
+    items = [*ITEMS, (50, "yes"), (51, "ten of all"), (52, words(300, random.Random(78)))]
+    parts = [edited(t, rng.randrange(3), rng) for _, t in items] + ["   \n " * 200, "yes", "eyes", "ten  of   all", "yess"] + [words(9, rng) for _ in range(20)]
+    texts = [" ".join(rng.sample(parts, len(parts))) for _ in range(4)] + [None, "yes", "x" * 500]
+    index = D.Index(items, D.Params())
+    whole = sorted(index.search(texts))
+    monkeypatch.setattr(D, "SEGMENT", size)
+    assert sorted(index.search(texts)) == whole and len(whole) > 50
+
+
 def test_hits_counted_in_parts(monkeypatch):
     rng = random.Random(5)
     texts = [edited(t, 3, rng) + " " + words(20, rng) for _, t in ITEMS] * 2
