@@ -89,8 +89,12 @@ def bands(key: np.ndarray, bounds: np.ndarray, p: Params) -> np.ndarray:
     return out
 
 
+def _listed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
 def _marked(rows: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
-    """Per row: its number, doc_id, SimHash fingerprint, node, bands and shingles."""
+    """Per row: its number, doc_id, SimHash fingerprint, node and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,15 +103,24 @@ def _marked(rows: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame
                 node = mix(_reduced(np.add, mix(key), bounds) ^ np.diff(bounds).astype(np.uint64))
                 found = bands(key, bounds, p)
                 fp = np.array([simhash.fingerprint(x.as_buffer().to_pybytes(), p.words) for x in part.column(2)], np.uint64)
-                listed = lambda v, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v.view(np.int64)))
-                columns = [part.column(0), part.column(1), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64))]
-                columns += [listed(found.reshape(-1), np.arange(len(found) + 1) * p.bands), listed(key, bounds)]
-                yield pa.RecordBatch.from_arrays(columns, ["_row", "doc_id", "fp", "node", "bands", "shingles"])
+                columns = [part.column(0), part.column(1), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), _listed(found.reshape(-1), np.arange(len(found) + 1) * p.bands)]
+                yield pa.RecordBatch.from_arrays(columns, ["_row", "doc_id", "fp", "node", "bands"])
 
     given = rows.select("_row", F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kinds = T.StructType([given.schema["_row"], given.schema["doc_id"]])
-    kinds = kinds.add("fp", "long").add("node", "long").add("bands", T.ArrayType(T.LongType())).add("shingles", T.ArrayType(T.LongType()))
-    return given.mapInArrow(run, kinds)
+    return given.mapInArrow(run, kinds.add("fp", "long").add("node", "long").add("bands", T.ArrayType(T.LongType())))
+
+
+def _sets(rows: DataFrame, firsts: DataFrame, p: Params, text_col: str) -> DataFrame:
+    """node, shingles: the sets of the rows that ``firsts(_row, node)`` names."""
+    given = rows.select("_row", F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(_sent(firsts), "_row").select("node", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), _listed(*shingles(*texts(part.column(1)), p.words))], ["node", "shingles"])
+
+    return given.mapInArrow(run, T.StructType([given.schema["node"]]).add("shingles", T.ArrayType(T.LongType())))
 
 
 def forest(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +168,12 @@ def _sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT_IDS else ids.hint("merge")
 
 
-def links(marked: DataFrame, p: Params = Params(), large: int = LARGE) -> DataFrame:
+def links(rows: DataFrame, marked: DataFrame, p: Params = Params(), text_col: str = "text", large: int = LARGE) -> DataFrame:
     """u, v (u < v): nodes; edges whose components are those of all near pairs."""
     groups = table(_groups(marked, p, large), "groups")
     firsts = marked.groupBy("node").agg(F.min("_row").alias("_row")).join(groups.select("node").distinct(), "node", "left_semi")
-    sets = marked.select("_row", "node", "shingles").join(_sent(table(firsts.select("_row"), "firsts")), "_row", "left_semi")
-    dealt = groups.join(sets.select("node", "shingles"), "node").select("g", "node", "shingles").repartition("g").sortWithinPartitions("g")
+    sets = _sets(rows, table(firsts.select("_row", "node"), "firsts"), p, text_col)
+    dealt = groups.join(sets, "node").select("g", "node", "shingles").repartition("g").sortWithinPartitions("g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -189,9 +202,9 @@ def links(marked: DataFrame, p: Params = Params(), large: int = LARGE) -> DataFr
 def representatives(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
     """One row of ``docs`` for each class of near copies, with all its columns."""
     rows = table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    marked = table(_marked(rows, p, id_col, text_col), "shingles")
+    marked = table(_marked(rows, p, id_col, text_col), "marked")
     least = marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
-    roots = simhash.components(links(marked, p, large)).withColumnRenamed("fp", "node")
+    roots = simhash.components(links(rows, marked, p, text_col, large)).withColumnRenamed("fp", "node")
     rooted = table(least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("root", F.col("least._row").alias("kept"))
     named = rooted.join(kept, "root").select("node", "kept")
