@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,19 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: 0
+
+
+_trim = _trimmer()
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have about ``limit`` bytes together."""
+    """Slices of a batch whose texts have about ``limit`` bytes together. What kernels
+    have freed goes back to the system at the end, as workers live on between tasks."""
     n, at = batch.num_rows, 0
     if not n:
         return
@@ -51,3 +63,5 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
+    _trim(0)
