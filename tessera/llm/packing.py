@@ -48,11 +48,11 @@ from .kernel import Ranges
 from .shared import chunks, table
 
 #: Bytes that the words a worker keeps the ids of take at most, about: the first ones, which hold the frequent ones.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 16 << 20
 #: What a kept word takes besides its ids, and its characters where they are kept, about.
 PLAIN_BYTES, ODD_BYTES = 32, 150
 #: Characters of a text that are encoded at once, up to the next end of a word.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -76,6 +76,9 @@ _SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}
 _BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
+#: Counts by length and partition that are sent to all tasks at most; beyond that, pieces are joined with theirs by a shuffle.
+SENT_OFFSETS = 1_000_000
+
 PLAIN = 0x250
 #: What is not plain: İ is two characters in lower case; later ones may compose or depend on their neighbours.
 _ODD = re.compile(f"[İ{chr(PLAIN)}-{chr(0x10FFFF)}]")
@@ -320,8 +323,12 @@ def pack(docs: DataFrame, tokenizer_path: str, p: Params = Params(), id_col: str
     cut = table(pieces(docs, tokenizer_path, p, id_col, text_col), "pieces")
     by_part = cut.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = by_part.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))).drop("_n")
-    rows = plan({r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, p)
+    by_part = table(by_part.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))), "offsets")
+    counts = by_part.groupBy("length").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("parts")).collect()  # at most ``tokens``
+    offsets = by_part.drop("_n")
+    if sum(r["parts"] for r in counts) <= SENT_OFFSETS:
+        offsets = F.broadcast(offsets)
+    rows = plan({r["length"]: r["n"] for r in counts}, p)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     ranked = cut.join(offsets, ["length", "_part"]).select(*names[:5], (F.col("_before") + F.col("_rank")).alias("_rank"))
     # plan rows of a length are in order of rank

@@ -154,8 +154,9 @@ def test_a_very_long_text_in_parts(monkeypatch):
     assert P.Encoder(tokenizer_path())([text, text[:2000]]) == whole
 
 
-@pytest.mark.parametrize("tokens", [2048, 16])
-def test_packing_round_trip(spark, docs, tokens):
+@pytest.mark.parametrize("tokens, sent", [(2048, 10**6), (16, 10**6), (16, 0)])
+def test_packing_round_trip(spark, docs, monkeypatch, tokens, sent):
+    monkeypatch.setattr(P, "SENT_OFFSETS", sent)
     p = P.Params(tokens=tokens, documents=tokens, attention=tokens * tokens)
     rows = P.pack(docs, tokenizer_path(), p).collect()
     encode = P.Encoder(tokenizer_path())
