@@ -159,7 +159,7 @@ def _op5(threshold: float = 0.5, window: int = 40) -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({' UNION ALL '.join(parts)})
-SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce(string_agg({own}, ',' ORDER BY s, kind_no) FILTER (WHERE kind_no < {len(pii.BASE)}), '')) AS base_sha256, coalesce(string_agg({own}, ',' ORDER BY s, kind_no), '') AS spans
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce(string_agg({own}, ',' ORDER BY s, kind_no) FILTER (WHERE kind_no < {len(pii.BASE)}), '')) AS base_sha256, coalesce(string_agg({own}, ',' ORDER BY s, kind_no), '') AS spans, count(kind) AS n_spans
 FROM d LEFT JOIN f ON d.r = f.r GROUP BY d.r
 """
 

@@ -9,8 +9,8 @@ choice of b - distance blocks (for 4 bits and 6 blocks: 15 choices of 2 blocks,
 or 22 bits), so each close pair meets in a bucket. A task verifies the Hamming
 distances in its buckets and writes a spanning forest, never all pairs. Buckets
 over ``LARGE`` fingerprints are cut into pieces, and each two pieces meet in a task
-of their own. More blocks make finer buckets for larger corpora, with the same
-links.
+of their own. More blocks make finer buckets with the same links, so their number is
+chosen by that of the fingerprints (unless it is given).
 
 Components: alternating large-star and small-star steps over tables in the shared
 folder, until no edge changes. A hot vertex is met by partial aggregation and a
@@ -46,6 +46,8 @@ BLOCK = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Members of a bucket that one task compares with each other.
 LARGE = 4096
+#: Members of an average bucket at most.
+FULL = 512
 #: Runs up to this length are compared by shifts, all runs at once.
 SHORT = 48
 
@@ -54,7 +56,7 @@ SHORT = 48
 class Params:
     words: int = 4
     distance: int = 4
-    blocks: int = 6
+    blocks: int | None = None
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -105,6 +107,11 @@ def fingerprints(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id",
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"]]).add("fp", "long"))
 
 
+def blocks_for(n: int, distance: int) -> int:
+    """The fewest blocks, from ``distance`` + 2 on, whose buckets have ``FULL`` of n fingerprints on average."""
+    return next((b for b in range(distance + 2, distance + 6) if n >> (64 * (b - distance) // b) <= FULL), distance + 6)
+
+
 def widths(blocks: int) -> list[tuple[int, int]]:
     """First bit and width of each block."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
@@ -170,10 +177,11 @@ def bucket_edges(group: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.n
 
 def links(fps: DataFrame, p: Params = Params(), large: int = LARGE) -> DataFrame:
     """u, v (u < v): edges whose components are those of all close pairs of ``fp``."""
-    cuts = widths(p.blocks)
+    blocks = p.blocks or blocks_for(fps.count(), p.distance)
+    cuts = widths(blocks)
     value = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for at, w in cuts]
     choices = []
-    for n, chosen in enumerate(combinations(range(p.blocks), p.blocks - p.distance)):
+    for n, chosen in enumerate(combinations(range(blocks), blocks - p.distance)):
         choices.append(F.xxhash64(F.lit(n), *(value[i] for i in chosen)))
     keys = fps.select("fp", F.explode(F.array(*choices)).alias("bucket"))
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -95,3 +95,10 @@ def test_representatives_and_edge_cases(spark, docs, empty, monkeypatch):
     rows = [(None, "a b c d e", "en", "s", 0, 0), (7, "a b c d e", "en", "s", 0, 0), (7, "a b c d e", "en", "s", 0, 0), (None, "other words here now", "en", "s", 0, 0)]
     found = sorted((str(r["doc_id"]), str(r["component_id"])) for r in S.classes(frame(spark, rows)).collect())
     assert found == [("7", "7"), ("7", "7"), ("None", "7"), ("None", "None")]
+
+
+def test_more_fingerprints_take_more_blocks():
+    assert [S.blocks_for(n, 4) for n in (0, 10**9, 10**10, 10**12)] == [6, 6, 7, 8]
+    for n in (10**6, 10**9, 10**12):
+        blocks = S.blocks_for(n, 4)
+        assert n / 2 ** (64 * (blocks - 4) // blocks) <= S.FULL + 1
