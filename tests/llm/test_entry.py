@@ -4,7 +4,7 @@ import pyarrow.dataset as ds
 import pytest
 from fixtures import base_counts
 from test_line_dedup import brute as dedup
-from test_simhash import plain_classes, plain_fingerprint
+from test_near_copies import plain_kept
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -46,7 +46,7 @@ def test_pipeline_stages(spark, small):
     plain = {d: t for d, t, _, _ in dedup([(d, t) for d, t in stages[0].items()])}
     assert stages[1] == plain
     ids = sorted(stages[1])
-    assert kept["SimHash near-dedup"] == set(plain_classes([plain_fingerprint(stages[1][d]) for d in ids], ids))
+    assert kept["SimHash near-dedup"] == plain_kept([(d, stages[1][d]) for d in ids])
     items = [r["text"] for r in ds.dataset(f"{small}/benchmark.parquet").to_table().to_pylist()]
     assert kept["benchmark decontamination"] == {d for d, t in stages[2].items() if not any(i in t for i in items)}
     last = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
