@@ -47,6 +47,8 @@ BITS = 22
 BEGINNINGS = (4, 5)
 #: Features of a token itself, its neighbours aside.
 OWN = 1 + len(BEGINNINGS)
+#: Tokens that the fit has in hand at once, in whole chains.
+PIECE = 1 << 17
 #: Tokens of a chain that are walked one after the other.
 SPAN = 256
 _BREAK = kernel.members("\n.!?")
@@ -93,21 +95,35 @@ class Tokens:
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
-    start, end, owner = kernel.runs(buf, offsets, kernel.LETTER)
+    parts, breaks = [], 0
+    for a, b in kernel.blocks(buf, kernel.LETTER):
+        bounds = np.concatenate([[0], offsets[(offsets > a) & (offsets < b)] - a, [b - a]])
+        start, end, own, at = _tokens(buf[a:b], bounds)
+        parts.append((start + a, end + a, own, at[:-1] + breaks))
+        breaks += int(at[-1])
+    if not parts:
+        return Tokens(*(np.zeros(0, np.int64),) * 3, np.zeros(0, bool), np.zeros((0, OWN), np.int32))
+    start, end, own, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    owner = np.searchsorted(offsets, start, "right") - 1
+    first = np.ones(len(start), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])
+    return Tokens(start, end, owner, first, own)
+
+
+def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and features of tokens, and the breaks before each and in all."""
+    start, end, _ = kernel.runs(buf, offsets, kernel.LETTER)
     of = kernel.Ranges(kernel.LOWER[buf])
     leads = (buf & 0xC0) != 0x80
     points = np.append(np.flatnonzero(leads), np.full(BEGINNINGS[-1] + 1, len(buf)))
     nth = np.cumsum(leads)[start] - 1 if len(start) else start
     breaks = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(_BREAK[buf], out=breaks[1:])
-    first = np.ones(len(start), bool)
-    first[1:] = (owner[1:] != owner[:-1]) | (breaks[start[1:]] != breaks[start[:-1]])
-    word = of(start, end)
     own = np.empty((len(start), OWN), np.int32)
-    own[:, 0] = _cell(word, 0)
+    own[:, 0] = _cell(of(start, end), 0)
     for i, n in enumerate(BEGINNINGS, 1):
         own[:, i] = _cell(of(start, np.minimum(points[nth + n], end)), i)
-    return Tokens(start, end, owner, first, own)
+    return start, end, own, np.append(breaks[start], breaks[-1])
 
 
 def _cell(h: np.ndarray, i: int) -> np.ndarray:
@@ -231,15 +247,26 @@ def learn(own: np.ndarray, first: np.ndarray, tag: np.ndarray, p: Params = Param
     inner = np.flatnonzero(~first)
     seen = np.bincount(tag[inner - 1] * 2 + tag[inner], minlength=4).reshape(2, 2)
     began = tag[first].sum()
+    # whole chains, some tokens at a time
+    begin = np.flatnonzero(first)
+    cuts = np.append(begin[np.unique(np.searchsorted(begin, np.arange(0, len(tag), PIECE)).clip(0, max(len(begin) - 1, 0)))], len(tag)) if len(tag) else []
+    pieces = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
     g2_w, g2_m, g2_s = np.full(len(ids), 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(p.steps if len(tag) else 0):
-        prob, moved, starts = marginals(summed([weight[x][i] for x, i in zip(into, index, strict=True)], first), first, move, start, pairs=True)
-        left = tag - prob
-        shares = [left] * OWN + [np.append(np.where(first, 0, left)[1:], 0), np.append(0, np.where(first[1:], 0, left[:-1]))]
-        g = -p.l2 * weight * len(tag)
-        for x, i, share in zip(into, index, shares, strict=True):
-            g += np.bincount(x, np.bincount(i, share, minlength=len(x)), minlength=len(ids))
-        gm, gs = (seen - moved).astype(float), float(began - starts)
+        g, gm, gs = -p.l2 * weight * len(tag), seen.astype(float), float(began)
+        own_weight = [weight[x] for x in into]
+        sums = [np.zeros(len(x)) for x in into]
+        for piece in pieces:
+            at, head = [i[piece] for i in index], first[piece]
+            prob, moved, starts = marginals(summed([w[i] for w, i in zip(own_weight, at, strict=True)], head), head, move, start, pairs=True)
+            left = tag[piece] - prob
+            shares = [left] * OWN + [np.append(np.where(head, 0, left)[1:], 0), np.append(0, np.where(head[1:], 0, left[:-1]))]
+            for total, i, share in zip(sums, at, shares, strict=True):
+                total += np.bincount(i, share, minlength=len(total))
+            gm -= moved
+            gs -= float(starts)
+        for x, total in zip(into, sums, strict=True):
+            g += np.bincount(x, total, minlength=len(ids))
         gm[0, 0] = 0  # the scale of the others
         g2_w, g2_m, g2_s = g2_w + g * g, g2_m + gm * gm, g2_s + gs * gs
         weight, move, start = weight + p.rate * g / np.sqrt(g2_w), move + p.rate * gm / np.sqrt(g2_m), start + p.rate * gs / np.sqrt(g2_s)

@@ -184,6 +184,18 @@ def test_a_million_tokens_without_a_stop():
     assert np.allclose(p[:500], X.marginals(energy[:600], first[:600], np.array([[0.0, -2], [-1, 1]]), -1.0)[:500])
 
 
+@pytest.mark.parametrize("piece", [1, 37])
+def test_the_fit_does_not_depend_on_its_pieces(monkeypatch, piece):
+    rng = np.random.default_rng(13)
+    first = rng.random(300) < 0.2
+    first[0] = True
+    own, tag = rng.integers(0, 9, (300, X.OWN)).astype(np.int32), (rng.random(300) < 0.3).astype(np.int8)
+    whole = X.learn(own, first, tag)
+    monkeypatch.setattr(X, "PIECE", piece)
+    parts = X.learn(own, first, tag)
+    assert np.allclose(parts.weight, whole.weight) and np.allclose(parts.move, whole.move) and np.isclose(parts.start, whole.start)
+
+
 def test_gradient_climbs_the_likelihood():
     """At the optimum, expected and seen counts of moves agree up to the penalty."""
     rng = np.random.default_rng(7)
