@@ -2,11 +2,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import base_counts, documents, frame, words
 
+from tessera.llm import kernel
 from tessera.llm import pairwise_quality as P
 from tessera.llm import quality_rules as Q
+from tessera.llm.shared import texts
 
 LABELS = "doc_id long, quality int"
 
@@ -131,3 +134,74 @@ def test_pairwise_edge_cases(spark, docs, empty):
     assert P.score(docs, model).count() == len(documents())
     one = spark.createDataFrame([(i, 0) for i in range(20)], LABELS)
     assert {r["predicted"] for r in P.score(docs, P.fit(docs, one)).collect()} == {0}
+
+
+def mixed(n, seed=5):
+    """Rows, labels that texts foretell only in part, and the texts' features."""
+    rows, labels = corpus(n, seed)
+    rng = random.Random(seed)
+    labels = [(i, good if rng.random() < 0.9 else 1 - good) for i, good in labels]
+    return rows, labels, P.features(kernel.basics(*texts(pa.array([r[1] for r in rows]))))
+
+
+def over_all_pairs(m, x, label, p=P.Params()):
+    """The gradient of the mean loss over every pair, pair by pair."""
+    z = (x - m.mean) / m.scale
+    good, bad = z[label == 1], z[label != 1]
+    s, total = bad @ m.weight, np.zeros(x.shape[1])
+    for block in np.array_split(good, len(good) // 500 + 1):
+        q = 1 / (1 + np.exp((block @ m.weight)[:, None] - s))
+        total += q.sum(1) @ block - q.sum(0) @ bad
+    return total / len(good) / len(bad) - p.l2 * m.weight
+
+
+def test_pairwise_model_is_of_all_pairs_of_all_labelled_rows(spark):
+    rows, labels, x = mixed(21_000)
+    docs, label = frame(spark, rows).repartition(6), np.array([good for _, good in labels])
+    m = P.fit(docs, spark.createDataFrame(labels, LABELS))
+    s, bad = np.sort((x - m.mean) / m.scale @ m.weight), (label == 0).sum()
+    assert np.allclose(m.mean, x.mean(0)) and math.isclose(m.threshold, (s[bad - 1] + s[bad]) / 2, rel_tol=1e-9)
+    assert np.abs(over_all_pairs(m, x, label)).max() < 1e-8
+    assert P.score(docs, m).where("predicted = 0").count() == (s < m.threshold - 1e-9).sum()
+
+
+def test_pairwise_moments_give_loss_and_slopes_of_all_pairs():
+    rng, p = np.random.default_rng(6), P.Params()
+    x, label = rng.standard_cauchy(size=(300, 4)), rng.integers(0, 2, 300)
+    d = (x[label == 1][:, None] - x[label == 0]).reshape(-1, 4)
+    for w in (np.zeros(4), np.array([0.3, -1, 2, 0.01]), np.array([9.0, 30, -1, 4])):
+        parts = [P.moments(x[i::3], label[i::3] == 1, w) for i in range(3)]
+        for found, plain in zip(P.slopes(P.added(parts), w, p), P._drawn(d, w, p)):
+            assert np.allclose(found, plain, rtol=1e-10, atol=1e-10)
+
+
+def test_pairwise_fit_is_the_same_by_shuffle_in_a_tree_and_in_memory(spark, monkeypatch):
+    """With repeated rows and labels, null labels, labels of no row, and rows of no label."""
+    rows, labels, x = mixed(300)
+    rows, at = rows + rows[:40], list(range(300)) + list(range(40))
+    given = labels[:250] + labels[20:30] + [(5000, 1), (6000, 0), (7, None), (299, None), (None, 0)]
+    picked = [(i, good) for j, good in given if j is not None and j < 300 and good is not None for i in at if i == j]
+    docs, train = frame(spark, rows).repartition(8), spark.createDataFrame(given, LABELS)
+    plain = P.fit_pairs(x[[i for i, _ in picked]], np.array([good for _, good in picked]))
+    same = lambda m: all(np.allclose(getattr(m, k), getattr(plain, k), rtol=1e-6, atol=1e-8) for k in ("mean", "scale", "weight", "threshold", "spread"))
+    assert same(P.fit(docs, train))
+    monkeypatch.setattr(P, "SENT_IDS", 10)
+    monkeypatch.setattr(P, "FAN", 2)
+    assert same(P.fit(docs, train))
+    few = P.Params(pairs=500)
+    assert np.allclose(P.fit(docs, train, few).weight, P.fit(docs.repartition(3), train, few).weight)
+
+
+def test_pairwise_threshold_is_the_exact_quantile_with_ties(spark):
+    keys = np.array([3.5, -1e300, -0.0, 0.0, 2.0**-1074, -2.5, 3.5, 3.5, 1e9])
+    coded = P._ordered((keys + 0.0).view(np.int64))
+    assert [P._score_of(k) for k in np.sort(coded)] == sorted(keys)
+    table = spark.createDataFrame([(int(k),) for k in coded], "_key long")
+    assert [P._at_rank(table, i) for i in range(len(keys))] == sorted(coded)
+    rows, _ = corpus(60)
+    docs = frame(spark, [(i, rows[i % 3][1], *r[2:]) for i, r in enumerate(rows)])
+    tied = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(60)], LABELS)
+    m = P.fit(docs, tied)
+    found = {r["doc_id"]: r["score"] for r in P.score(docs, m).collect()}
+    at_least = sorted(found.values())[12]
+    assert {r["doc_id"] for r in P.score(docs, m).where("predicted = 1").collect()} == {i for i, s in found.items() if s >= at_least}
